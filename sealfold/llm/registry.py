@@ -2,6 +2,8 @@
 
 from sealfold.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from sealfold.llm.fingerprints import op7_fingerprints
+from sealfold.llm.packing import op3_packing
+from sealfold.llm.token_counts import op2_token_counts
 
-QUERIES = {f.__name__: f for f in (op7_fingerprints, op8_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_packing, op7_fingerprints, op8_exact_dedup)}
 SQL = {"op8_exact_dedup": OP8_SQL}
