@@ -2,8 +2,10 @@
 
 from sealfold.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from sealfold.llm.fingerprints import op7_fingerprints
+from sealfold.llm.minhash import op10_minhash
 from sealfold.llm.packing import op3_packing
+from sealfold.llm.pii import op1_pii
 from sealfold.llm.token_counts import op2_token_counts
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_packing, op7_fingerprints, op8_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_token_counts, op3_packing, op7_fingerprints, op8_exact_dedup, op10_minhash)}
 SQL = {"op8_exact_dedup": OP8_SQL}
