@@ -6,6 +6,7 @@ from sealfold.llm.minhash import op10_minhash
 from sealfold.llm.packing import op3_packing
 from sealfold.llm.pii import op1_pii
 from sealfold.llm.token_counts import op2_token_counts
+from sealfold.llm.toxicity import op6_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_token_counts, op3_packing, op7_fingerprints, op8_exact_dedup, op10_minhash)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_token_counts, op3_packing, op6_toxicity, op7_fingerprints, op8_exact_dedup, op10_minhash)}
 SQL = {"op8_exact_dedup": OP8_SQL}
