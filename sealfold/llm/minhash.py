@@ -6,9 +6,9 @@
 3. Of the texts that share a band key, each is a candidate with one leader (another for each key), never with all.
 4. Candidates whose signatures agree enough (six deviations below the threshold still pass) are confirmed on their full
    shingle sets: first each document's likeliest partner, then what the components found so far leave unconnected.
-5. At last the texts that share a key and are not yet connected are compared with each other, whatever their leaders said:
-   those outside the largest component of a key with all of that key. So no link that a band shows can be lost, and
-   groups of copies of any size take pairs in proportion to their size.
+5. Where a key still holds several components, each document outside the largest meets that component's best linked
+   document. What then is still apart goes through an exact join on the rarest shingles of the documents of such keys. So
+   no link that a band shows can be lost, whatever the leaders said, and groups of copies make few pairs, not all.
 
 Defined results: a null or empty text, or one without words, has no shingles and is linked with nothing; equal texts are
 always linked; of a component the document with the least id stays; a null id is linked with nothing; ids are taken to be
@@ -31,6 +31,8 @@ BANDS, ROWS = 32, 5
 #: A group is hot above this share of the rows; so there are at most 1 / HOT_SHARE hot groups, and they may be broadcast.
 HOT_SHARE = 0.001
 _SEED = 20240229
+#: Sizes of sets within this factor of each other are one class.
+SIZE_CLASS = 1.03
 
 
 def _functions() -> tuple[np.ndarray, np.ndarray]:
@@ -97,10 +99,6 @@ def _agreeing(pairs: DataFrame, sketches: DataFrame, share: float) -> DataFrame:
     both = pairs.join(sig.withColumnsRenamed({"doc_id": "a", "sig": "sa"}), "a").join(sig.withColumnsRenamed({"doc_id": "b", "sig": "sb"}), "b")
 
     def run(batches):
-        for x in both_batches(batches):
-            yield x
-
-    def both_batches(batches):
         for batch in batches:
             if batch.num_rows:
                 one, other = (np.frombuffer(b"".join(batch.column(batch.schema.get_field_index(c)).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
@@ -146,6 +144,45 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return _labelled(_labelled(pairs, labels, "a", "ca"), labels, "b", "cb").where("ca <> cb").select(pairs.columns)
 
 
+def _split(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, key, m, c and top for the keys that hold several components: a document's component, and the key's largest."""
+    own = _labelled(buckets.select("doc_id", "key", "m"), labels, "doc_id", "c")
+    parts = own.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"), F.max("m").alias("m")).where("k < m")
+    return own.join(parts.groupBy("key").agg(F.max(F.struct("k", "c")).alias("top")).select("key", F.col("top.c").alias("top")), "key")
+
+
+def _sharing_rare(rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (a, b) in different components, one of them outside, that can be that similar: an exact prefix join.
+
+    Of sets of n and s shingles that are so similar, the n - overlap + 1 rarest of the one and the s - overlap + 1 rarest
+    of the other have a shingle in common, in any one order of rarity. What many copies share is not rare, so it joins
+    nothing. Partners are told apart by classes of their size, within which the overlap needed is nearly one number.
+    """
+
+    def run(batches):
+        for part, found in texts(batches, 256):
+            for first, chunk in wordhash.chunks([t.encode() for t in found]):
+                hashes, at = wordhash.shingles(chunk, size)
+                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), hashes.view(np.int64))
+                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)).slice(first, len(chunk)) for c in ("doc_id", "outside", "c")), lists], ["doc_id", "outside", "c", "hashes"])
+
+    sets = rows.select("doc_id", "outside", "c", "text").mapInArrow(run, "doc_id long, outside boolean, c long, hashes array<long>")
+    each = materialize(sets.select("doc_id", "outside", "c", F.size("hashes").alias("n"), F.explode("hashes").alias("h")), "shingles")
+    often = each.groupBy("h").agg(F.count(F.lit(1)).alias("often"))
+    ranked = each.join(often, "h").groupBy("doc_id", "outside", "c", "n").agg(F.sort_array(F.collect_list(F.struct("often", "h"))).alias("order"))  # a text's shingles
+    p = percent
+    prefix = ranked.select("doc_id", "outside", "c", "n", F.posexplode(F.slice("order", 1, F.col("n") - F.ceil(p * F.col("n") / 100).cast("int") + 1)).alias("at", "x"))
+    of = lambda s: F.floor(F.log(s) / F.lit(float(np.log(SIZE_CLASS))) + 1e-9).cast("int")
+    most = F.least((F.col("n") - F.col("at")) * (100 + p) / p - F.col("n"), 100 * F.col("n") / p)
+    least = F.greatest(F.ceil(p * F.col("n") / 100), F.lit(1))
+    able = prefix.where(most >= least).withColumn("other", F.explode(F.sequence(of(least), of(most))))
+    entry = able.select(F.col("x.h").alias("h"), "doc_id", "outside", "c", of(F.col("n")).alias("own"), "other")
+    left = entry.where("outside").select("h", "own", "other", F.col("doc_id").alias("l"), F.col("c").alias("cl"))
+    right = entry.select("h", F.col("other").alias("own"), F.col("own").alias("other"), F.col("doc_id").alias("r"), F.col("c").alias("cr"), F.col("outside").alias("both"))
+    pairs = left.join(right, ["h", "own", "other"]).where("cl <> cr and (not both or l < r)")
+    return pairs.select(F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs."""
     share = max(0.0, percent / 100 - 6 * (0.25 / (BANDS * ROWS)) ** 0.5 * (4 * (percent / 100) * (1 - percent / 100)) ** 0.5)
@@ -178,14 +215,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     labels = components(links)
     tried = tried.union(rest)
 
-    # What is left: pairs of one key in different components. One end at least lies outside the key's largest component.
-    own = _labelled(buckets.select("doc_id", "key", "m"), labels, "doc_id", "c")
-    parts = own.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"), F.max("m").alias("m")).where("k < m")
-    largest = parts.groupBy("key").agg(F.max(F.struct("k", "c")).alias("top")).select("key", F.col("top.c").alias("top"))
-    split = materialize(own.join(largest, "key"), "split")
-    left = split.where("c <> top").select("key", F.col("doc_id").alias("l"), F.col("c").alias("cl"))
-    right = split.select("key", F.col("doc_id").alias("r"), F.col("c").alias("cr"), (F.col("c") == F.col("top")).alias("most"))
-    pairs = left.join(right, "key").where("cl <> cr and (most or l < r)").select(F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b")).distinct()
+    # Keys that hold several components: first each document outside the largest one meets that component's best linked document.
+    split = materialize(_split(buckets, labels), "split")
+    degree = links.select(F.col("a").alias("doc_id")).union(links.select(F.col("b").alias("doc_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("degree"))
+    hub = split.where("c = top").join(degree, "doc_id").groupBy("key").agg(F.max(F.struct("degree", "doc_id")).alias("hub")).select("key", F.col("hub.doc_id").alias("hub"))
+    met = split.where("c <> top").join(hub, "key").select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
+    met = materialize(_agreeing(met.join(tried, ["a", "b"], "left_anti"), reps, share).select("a", "b"), "third")
+    links = links.union(materialize(confirmed(met, held, size, percent), "links"))
+    labels = components(links)
+    tried = tried.union(met)
+
+    # What is still apart can only be linked by rare shingles: an exact join finds such pairs.
+    still = materialize(_split(split.select("doc_id", "key", "m"), labels), "split")
+    sides = still.groupBy("doc_id").agg(F.max(F.col("c") != F.col("top")).alias("outside"), F.first("c").alias("c"))
+    pairs = _sharing_rare(held.join(sides, "doc_id"), size, percent)
     last = _agreeing(pairs.join(tried, ["a", "b"], "left_anti"), reps, share)
     links = materialize(links.union(confirmed(last, held, size, percent)), "links")
     labels = materialize(components(links), "labels")
