@@ -47,3 +47,38 @@ def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. Where all is ASCII, lower() does just that and is faster than translate()."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
+
+
+#: Bits a key of a Bloom table, and bounds of the table: 2**26 bits make at most 2**20 words of 64, which may be broadcast.
+BITS_A_KEY, LEAST_BITS, MOST_BITS = 16, 2**16, 2**26
+
+
+def bloom_slots(key: Column, bits: int) -> list[Column]:
+    """The two bits of a key. The table has at most MOST_BITS; beyond some millions of keys it lets more rows pass, never fewer."""
+    return [F.xxhash64(key, F.lit(i)).bitwiseAND(F.lit(bits - 1)) for i in range(2)]
+
+
+def bloom_bits(keys: int) -> int:
+    bits = LEAST_BITS
+    while bits < min(BITS_A_KEY * keys, MOST_BITS):
+        bits *= 2
+    return bits
+
+
+def bloom(keys: DataFrame, column: str, bits: int, times: int = 1) -> DataFrame:
+    """(word, bits) of the slots that keys set at least so many times."""
+    slots = keys.select(F.explode(F.array(*bloom_slots(F.col(column), bits))).alias("slot"))
+    if times > 1:
+        slots = slots.groupBy("slot").count().where(F.col("count") >= times)
+    return slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
+
+
+def with_maybe(rows: DataFrame, column: str, words: DataFrame, bits: int) -> DataFrame:
+    """rows with ``maybe``: whether all bits of the key in ``column`` are set. Probes are broadcast joins, so no row is shuffled."""
+    out = rows
+    hit = F.lit(True)
+    for i, slot in enumerate(bloom_slots(F.col(column), bits)):
+        table = F.broadcast(words.select(F.col("word").alias(f"__w{i}"), F.col("bits").alias(f"__b{i}")))
+        out = out.withColumn(f"__s{i}", slot).join(table, F.shiftright(F.col(f"__s{i}"), 6) == F.col(f"__w{i}"), "left")
+        hit = hit & (F.expr(f"coalesce(shiftrightunsigned(__b{i}, cast(__s{i} & 63 as int)) & 1, 0)") == 1)
+    return out.withColumn("maybe", hit).drop(*[f"__{c}{i}" for c in "swb" for i in range(2)])

@@ -13,10 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sealfold.llm.common import ascii_lower, documents, materialize, packed
+from sealfold.llm.common import ascii_lower, bloom, bloom_bits, documents, materialize, packed, with_maybe
 
-#: Slots a row, and bounds of the table: 2**26 bits make at most 2**20 words of 64, which may be broadcast.
-SLOTS_A_ROW, LEAST_BITS, MOST_BITS = 16, 2**16, 2**26
 #: A group is hot above this share of the rows; so there are at most 1 / HOT_SHARE hot groups, and they may be broadcast.
 HOT_SHARE = 0.001
 
@@ -26,33 +24,6 @@ def digest(text):
     return F.unhex(F.sha2(ascii_lower(F.coalesce(text, F.lit(""))).cast("binary"), 256))
 
 
-def _slots(h, bits: int):
-    return [F.xxhash64(h, F.lit(i)).bitwiseAND(F.lit(bits - 1)) for i in range(2)]
-
-
-def repeated_slots(digests: DataFrame, rows: int) -> tuple[DataFrame, int]:
-    """Bloom pass 1: words (word, bits) of the slots that at least two rows set, and the table's size in bits."""
-    bits = LEAST_BITS
-    while bits < min(SLOTS_A_ROW * rows, MOST_BITS):
-        bits *= 2
-    slots = digests.select(F.explode(F.array(*_slots(F.col("h"), bits))).alias("slot")).groupBy("slot").count().where("count > 1")
-    words = slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
-    return words, bits
-
-
-def with_maybe_repeated(rows: DataFrame, words: DataFrame, bits: int) -> DataFrame:
-    """Bloom pass 2: adds ``maybe`` to rows with a digest ``h``. The words are at most MOST_BITS / 64, so broadcast."""
-    out = rows
-    for i, slot in enumerate(_slots(F.col("h"), bits)):
-        table = F.broadcast(words.select(F.col("word").alias(f"w{i}"), F.col("bits").alias(f"b{i}")))
-        out = out.withColumn(f"s{i}", slot)
-        out = out.join(table, F.shiftright(F.col(f"s{i}"), 6) == F.col(f"w{i}"), "left")
-    hit = F.lit(True)
-    for i in range(2):
-        hit = hit & (F.expr(f"coalesce(shiftrightunsigned(b{i}, cast(s{i} & 63 as int)) & 1, 0)") == 1)
-    return out.withColumn("maybe", hit).drop(*[f"{c}{i}" for c in "swb" for i in range(2)])
-
-
 def _joined_to_groups(rows: DataFrame, groups: DataFrame, n: int) -> DataFrame:
     """Rows with their group's columns by ``h``. Groups above the hot share are few and broadcast, so no task gets one whole."""
     most = max(1000, int(n * HOT_SHARE))
@@ -65,8 +36,8 @@ def group_rows(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: a row for each row of docs, dropped ones too."""
     base = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text")).alias("h")), "digests")
     n = base.count()
-    words, bits = repeated_slots(base, n)
-    probed = materialize(with_maybe_repeated(base, words, bits), "probed")
+    bits = bloom_bits(n)
+    probed = materialize(with_maybe(base, "h", bloom(base, "h", bits, times=2), bits), "probed")
     maybe = probed.where("maybe").drop("maybe")
     groups = maybe.groupBy("h").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     repeated = _joined_to_groups(maybe, groups, n).select("doc_id", "keep_id", "group_size", "h")
@@ -81,15 +52,15 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     rows = docs.select(packed(docs).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text")).alias("h"))
     base = materialize(rows.select("doc_id", "h"), "digests")
     n = base.count()
-    words, bits = repeated_slots(base, n)
-    words = materialize(words, "bloom")
+    bits = bloom_bits(n)
+    words = materialize(bloom(base, "h", bits, times=2), "bloom")
     groups = (
-        with_maybe_repeated(base, words, bits).where("maybe").groupBy("h", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+        with_maybe(base, "h", words, bits).where("maybe").groupBy("h", "doc_id").agg(F.count(F.lit(1)).alias("n"))
         .groupBy("h").agg(F.max(F.struct("doc_id", "n")).alias("top"), F.sum("n").alias("group_size"))
         .select("h", F.col("top.doc_id").alias("doc_id"), F.col("top.n").alias("n_top"), "group_size")
     )
     groups = materialize(groups, "groups")
-    probed = with_maybe_repeated(rows, words, bits)
+    probed = with_maybe(rows, "h", words, bits)
     single = probed.where("not maybe").select("row")
     # One row of a group stays, so rows join its winner by digest and id: no key is hot but by rows that repeat an id.
     on = (F.col("d.h") == F.col("g.h")) & F.col("d.doc_id").eqNullSafe(F.col("g.doc_id"))

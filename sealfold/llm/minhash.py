@@ -4,9 +4,9 @@
    similarity 0.8 share no band with a probability of 3e-6.
 2. Texts with equal shingle sets form a class, and one document stands for it from here on.
 3. Of the texts that share a band key, each is a candidate with one leader (another for each key), never with all.
-4. Candidates whose signatures agree enough (six deviations below the threshold still pass) are confirmed on their full
+4. Candidates whose signatures agree enough (five deviations below the threshold still pass) are confirmed on their full
    shingle sets: first each document's likeliest partner, then what the components found so far leave unconnected.
-5. Where a key still holds several components, each document outside the largest meets that component's best linked
+5. Where a key still holds several components, each document outside the largest meets that component's most typical
    document. What then is still apart goes through an exact join on the rarest shingles of the documents of such keys. So
    no link that a band shows can be lost, whatever the leaders said, and groups of copies make few pairs, not all.
 
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sealfold.llm import wordhash
-from sealfold.llm.common import documents, materialize, packed
+from sealfold.llm.common import bloom, bloom_bits, documents, materialize, packed, with_maybe
 from sealfold.llm.components import components
 from sealfold.llm.token_counts import texts
 
@@ -185,7 +185,7 @@ def _sharing_rare(rows: DataFrame, size: int, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs."""
-    share = max(0.0, percent / 100 - 6 * (0.25 / (BANDS * ROWS)) ** 0.5 * (4 * (percent / 100) * (1 - percent / 100)) ** 0.5)
+    share = max(0.0, percent / 100 - 5 * (0.25 / (BANDS * ROWS)) ** 0.5 * (4 * (percent / 100) * (1 - percent / 100)) ** 0.5)
     sketches = materialize(sketch(docs, size), "sketches")
     rows = sketches.count()
     alike = ["n", "s1", "s2"]
@@ -201,7 +201,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     candidates = materialize(_agreeing(star, reps, share), "candidates")
     in_buckets = buckets.select("doc_id").distinct()
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    held = materialize(text.join(in_buckets, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    in_buckets = materialize(in_buckets, "ids")
+    bits = bloom_bits(rows)
+    near = with_maybe(text, "doc_id", bloom(in_buckets, "doc_id", bits), bits).where("maybe").drop("maybe")  # only these texts are shuffled
+    held = materialize(near.join(in_buckets, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
 
     ends = candidates.select(F.col("a").alias("x"), "a", "b", "est").union(candidates.select(F.col("b").alias("x"), "a", "b", "est"))
     order = F.struct("est", F.xxhash64("a", "b").alias("h"), "a", "b")
@@ -215,10 +218,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     labels = components(links)
     tried = tried.union(rest)
 
-    # Keys that hold several components: first each document outside the largest one meets that component's best linked document.
+    # Keys that hold several components: first each document outside the largest one meets that component's most typical
+    # document, the one most like its candidates on the whole: what copies were made from is closer to all than they are.
     split = materialize(_split(buckets, labels), "split")
-    degree = links.select(F.col("a").alias("doc_id")).union(links.select(F.col("b").alias("doc_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("degree"))
-    hub = split.where("c = top").join(degree, "doc_id").groupBy("key").agg(F.max(F.struct("degree", "doc_id")).alias("hub")).select("key", F.col("hub.doc_id").alias("hub"))
+    typical = ends.groupBy("x").agg(F.avg("est").alias("near")).withColumnRenamed("x", "doc_id")
+    hub = split.where("c = top").join(typical, "doc_id").groupBy("key").agg(F.max(F.struct("near", "doc_id")).alias("hub")).select("key", F.col("hub.doc_id").alias("hub"))
     met = split.where("c <> top").join(hub, "key").select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
     met = materialize(_agreeing(met.join(tried, ["a", "b"], "left_anti"), reps, share).select("a", "b"), "third")
     links = links.union(materialize(confirmed(met, held, size, percent), "links"))
@@ -247,10 +251,16 @@ def _with_names(members: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
 
 def deduplicate(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that stay, one of each component, with all their columns."""
-    kept = near_duplicates(docs, size, percent).where("doc_id = component_id").select("doc_id").distinct()
+    found = materialize(near_duplicates(docs, size, percent), "found")
+    # Ids that go, and ids that several rows have, are few: rows with any other id pass straight through.
+    each = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("component_id").alias("c"))
+    odd = materialize(each.where("n > 1 or c <> doc_id").select("doc_id", (F.col("c") == F.col("doc_id")).alias("stays")), "odd")
+    bits = bloom_bits(odd.count())
     rows = docs.select(packed(docs).alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
-    named = rows.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select("row").unionByName(rows.where("doc_id is null").select("row")).select("row.*")
+    rows = with_maybe(rows, "doc_id", bloom(odd, "doc_id", bits), bits)
+    maybe = rows.where("maybe").join(odd, "doc_id", "left")
+    out = [rows.where("not maybe"), maybe.where("stays is null"), maybe.where("stays").dropDuplicates(["doc_id"])]
+    return out[0].select("row").unionByName(out[1].select("row")).unionByName(out[2].select("row")).select("row.*")
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,6 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sealfold.llm import wordhash
 from sealfold.llm.common import documents, materialize
 from sealfold.llm.token_counts import texts, tokenizer_path
 
@@ -32,7 +33,7 @@ CAPACITY, END = 2048, 0
 #: Rows of one length that are ranked in one task.
 RANKED_ROWS = 200_000
 #: Words whose ids a worker keeps; beyond that it starts over. A bound on memory only.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 500_000
 _WORDS = r"'s|'t|'re|'ve|'m|'ll|'d"
 ASCII_WORDS = re.compile(rf"{_WORDS}|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 LATIN_WORDS = regex.compile(rf"{_WORDS}|[\p{{L}}]+|[\p{{N}}]|[^\p{{White_Space}}\p{{L}}\p{{N}}]+")
@@ -40,31 +41,99 @@ LATIN_WORDS = regex.compile(rf"{_WORDS}|[\p{{L}}]+|[\p{{N}}]|[^\p{{White_Space}}
 NOT_LATIN = re.compile("[^\x00-ɏ]")
 
 
+#: What bytes are to the word pattern, for lower-cased text: white space, letters (all beyond ASCII), digits, others.
+_CLASS = np.full(256, 3, np.uint8)
+_CLASS[[*range(9, 14), 32]] = 0
+_CLASS[97:123] = 1
+_CLASS[128:] = 1
+_CLASS[48:58] = 2
+#: Texts in which bytes don't tell the words: contractions, special tokens, letters beyond U+024F, and signs from U+0080 on.
+_NOT_PLAIN_ASCII = re.compile("'[stmdrvl]|<\\|")
+_NOT_PLAIN = re.compile("'[stmdrvl]|<\\||[^\x00-\x7f\xc0-\xd6\xd8-\xf6\xf8-\u024f]")
+
+
 class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit integers, by a file of the tokenizers library.
 
     With ``words_alone`` the file is the lower-casing word vocabulary, whose words are encoded independently: each
-    distinct word is encoded once. Texts with letters that need composing, or with special tokens, go to the library whole.
+    distinct word is encoded once, and texts are put together from its ids by array operations over their bytes. Texts
+    whose words bytes don't tell are cut by the pattern, and those with letters that need composing, or with special
+    tokens, go to the library whole.
     """
 
     def __init__(self, path: str, words_alone: bool):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.words_alone, self.known = Tokenizer.from_file(path), words_alone, {}
-
-    def _whole(self, found: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(found, add_special_tokens=False)]
+        self.tokenizer, self.words_alone = Tokenizer.from_file(path), words_alone
+        self._forget()
+
+    def _forget(self) -> None:
+        self.places: dict[int, int] = {}  # hash of a word -> its place in starts
+        self.starts, self.ids, self.used = np.zeros(1 << 12, np.int64), np.zeros(1 << 14, "<u4"), 0
+
+    def _whole(self, found: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(found, add_special_tokens=False)]
+
+    def _learn(self, hashes: list[int], words: list[str]) -> None:
+        for h, ids in zip(hashes, self._whole(words), strict=True):
+            while self.used + len(ids) > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+            self.ids[self.used : self.used + len(ids)] = ids
+            self.used += len(ids)
+            self.places[h] = n = len(self.places)
+            if n + 2 > len(self.starts):
+                self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+            self.starts[n + 1] = self.used
+
+    def _plain(self, found: list[bytes]) -> list[bytes]:
+        """Ids of lower-cased texts whose words are runs of one class of bytes, digits one by one."""
+        data = np.frombuffer(b" ".join(found), np.uint8)
+        kind = _CLASS[data]
+        cut = np.concatenate([[True], (kind[1:] != kind[:-1]) | (kind[1:] == 2), [True]])
+        edges = np.flatnonzero(cut)
+        starts, ends = edges[:-1], edges[1:]
+        word = kind[starts] != 0 if len(data) else np.zeros(0, bool)
+        starts, ends = starts[word], ends[word]
+        distinct, first, which = np.unique(wordhash.spans(data, starts, ends), return_index=True, return_inverse=True)
+        distinct = distinct.tolist()
+        if len(self.places) > KEPT_WORDS:
+            self._forget()
+        found_places = list(map(self.places.get, distinct))
+        if None in found_places:
+            new = [i for i, x in enumerate(found_places) if x is None]
+            raw = data.tobytes()
+            self._learn([distinct[i] for i in new], [raw[starts[first[i]] : ends[first[i]]].decode() for i in new])
+            for i in new:
+                found_places[i] = self.places[distinct[i]]
+        place = np.array(found_places, np.int64)
+        begin, size = self.starts[place][which], (self.starts[place + 1] - self.starts[place])[which]
+        total = np.concatenate([[0], np.cumsum(size)])
+        ids = self.ids[np.arange(total[-1]) + np.repeat(begin - total[:-1], size)]
+        at = np.cumsum([0, *(len(t) + 1 for t in found)])
+        text_ends = total[np.searchsorted(starts, at)]
+        return [ids[s:e].tobytes() for s, e in zip(text_ends[:-1], text_ends[1:], strict=True)]
+
+    def _cut(self, text: str) -> bytes:
+        words = (ASCII_WORDS if text.isascii() else LATIN_WORDS).findall(text)
+        return b"".join(x.tobytes() for x in self._whole(words)) if words else b""
 
     def __call__(self, found: list[str]) -> list[bytes]:
-        alone = [self.words_alone and "<|" not in t and (t.isascii() or not NOT_LATIN.search(t)) for t in found]
-        words = [(ASCII_WORDS if t.isascii() else LATIN_WORDS).findall(t.lower()) if x else [] for t, x in zip(found, alone, strict=True)]
-        if len(self.known) > KEPT_WORDS:
-            self.known.clear()
-        known = self.known
-        new = list({w for ws in words for w in ws if w not in known})
-        known.update(zip(new, self._whole(new), strict=True))
-        whole = iter(self._whole([t for t, x in zip(found, alone, strict=True) if not x]))
-        return [b"".join(map(known.__getitem__, ws)) if x else next(whole) for ws, x in zip(words, alone, strict=True)]
+        out: list[bytes] = [b""] * len(found)
+        low = [t.lower() for t in found]
+        plain = [i for i, t in enumerate(low) if self.words_alone and not (_NOT_PLAIN_ASCII if t.isascii() else _NOT_PLAIN).search(t)]
+        for first, chunk in wordhash.chunks([low[i].encode() for i in plain]):
+            for i, ids in zip(plain[first : first + len(chunk)], self._plain(chunk), strict=True):
+                out[i] = ids
+        taken = set(plain)
+        rest = [i for i in range(len(found)) if i not in taken]
+        cut = [i for i in rest if self.words_alone and "<|" not in found[i] and not NOT_LATIN.search(found[i])]
+        for i in cut:
+            out[i] = self._cut(low[i])
+        taken.update(cut)
+        whole = [i for i in rest if i not in taken]
+        for i, ids in zip(whole, self._whole([found[i] for i in whole]), strict=True):
+            out[i] = ids.tobytes()
+        return out
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}

@@ -31,6 +31,8 @@ BLOCK_ROWS, BLOB_BYTES = 8000, 1 << 18
 QUANTILES = (0.0005, 0.995)
 #: Held-out trusted documents a language needs for quantiles of its own.
 OWN_QUANTILES = 200
+#: Languages whose discounts are broadcast.
+MOST_BROADCAST = 10_000
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += 32
 _END = 10
@@ -148,6 +150,8 @@ def probabilities(counts: DataFrame, wanted: DataFrame) -> DataFrame:
     table, tables = counts, {ORDER: counts}
     for k in range(ORDER - 1, 0, -1):  # how many letters go before: continuation counts
         table = tables[k] = table.groupBy("lang", suffix(k).alias("gram")).agg(F.count(F.lit(1)).alias("c"))
+    # Discounts are a row a language; beyond so many languages they are joined by a shuffle.
+    few = F.broadcast if counts.select("lang").distinct().count() <= MOST_BROADCAST else (lambda x: x)
     ask, found, weights = wanted.select("lang", "gram"), {}, {}
     for k in range(1, ORDER + 1):
         many = lambda n: F.sum((F.col("c") == n).cast("double"))  # noqa: B023, E731
@@ -157,7 +161,7 @@ def probabilities(counts: DataFrame, wanted: DataFrame) -> DataFrame:
         raw = [F.when((F.col(f"n{i}") > 0) & (F.col(f"n{i + 1}") > 0) & (F.col("n1") > 0), i - (i + 1) * y * F.try_divide(F.col(f"n{i + 1}"), F.col(f"n{i}"))) for i in (1, 2, 3)]
         cut = [F.least(F.greatest(F.coalesce(d, F.lit(0.5 * i)), F.lit(0.05)), F.lit(i - 0.05)) for i, d in zip((1, 2, 3), raw, strict=True)]
         rate = rate.where("n1 + 2 * n2 > 0").select("lang", *[c.alias(f"d{i}") for i, c in enumerate(cut, 1)])
-        with_d = tables[k].join(rate, "lang", "left").na.fill({"d1": 0.5, "d2": 1.0, "d3": 1.5})
+        with_d = tables[k].join(few(rate), "lang", "left").na.fill({"d1": 0.5, "d2": 1.0, "d3": 1.5})
         d = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
         with_d = with_d.select("lang", "gram", "c", F.shiftright("gram", 8).alias("h"), d.alias("d"))
         weights[k] = with_d.groupBy("lang", "h").agg(F.sum("c").alias("total"), F.sum("d").alias("mass"))

@@ -1,6 +1,7 @@
 """Toxicity by a convolutional text classifier: hashed word embeddings, filters of several widths, max pooling; in numpy.
 
-Words are runs of letters and digits, lower-cased, hashed into a fixed number of buckets. Filters over one, two and three
+Words are runs of letters and digits, lower-cased. A word's embedding is the sum of those of two hash buckets, its own and
+that of its first letters, so that rare forms of a word are known by their stem. Filters over one, two and three
 words are pooled by their maximum over the whole text, so a text of any length gives the same few values; a logistic layer
 turns them into a score. Training sees a bounded sample of labelled rows; thresholds by language are calibrated on the
 scores of all labelled rows of the training folds.
@@ -12,6 +13,7 @@ score is 0; a language without labels has the threshold of all languages togethe
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,23 +26,29 @@ from sealfold.llm.common import documents, materialize, packed
 from sealfold.llm.token_counts import texts
 
 BUCKETS, DIM, WIDTHS, FILTERS = 2**17, 8, (1, 2, 3), 16
+#: Bytes of a word's beginning that have an embedding of their own.
+HEAD = 5
 #: The most labelled rows of either kind that training uses, picked by a hash of their id.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 4000, 8000
 EPOCHS, BATCH, RATE, SEED = 4, 32, 0.3, 7
 #: The share of clean labelled rows of a language that its threshold may reject.
 FALSE_ALARMS = 0.002
+#: Bytes of text that are scored at once.
+SCORED_BYTES = 1 << 18
 _WIDE = max(WIDTHS)
 _SPACE = np.ones(256, bool)
 _SPACE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 
 def word_ids(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets of all words, two rows of padding behind each text; offsets of the texts in them)."""
-    h, doc = wordhash.words(found, space=_SPACE)
+    """((words, 2) buckets of all words, two rows of padding behind each text; offsets of the texts in them)."""
+    h, heads, doc = wordhash.words_and_heads(found, HEAD, space=_SPACE)
     count = np.bincount(doc, minlength=len(found))
     at = np.concatenate([[0], np.cumsum(count + _WIDE - 1)])
-    out = np.full(at[-1], BUCKETS, np.int32)
-    out[np.arange(len(h)) + doc * (_WIDE - 1)] = (h & np.uint64(BUCKETS - 1)).astype(np.int32)
+    out = np.full((at[-1], 2), BUCKETS, np.int32)
+    place = np.arange(len(h)) + doc * (_WIDE - 1)
+    out[place, 0] = h & np.uint64(BUCKETS - 1)
+    out[place, 1] = wordhash.mix(heads, 1) & np.uint64(BUCKETS - 1)
     return out, at
 
 
@@ -69,7 +77,7 @@ class Model:
         return np.concatenate([np.repeat(np.arange(_WIDE) < w, DIM)[:, None].repeat(FILTERS, 1) for w in WIDTHS], axis=1).astype(np.float32)
 
     def windows(self, ids: np.ndarray) -> np.ndarray:
-        padded = np.concatenate([self.words[ids], np.zeros((_WIDE - 1, DIM), np.float32)])
+        padded = np.concatenate([self.words[ids[:, 0]] + self.words[ids[:, 1]], np.zeros((_WIDE - 1, DIM), np.float32)])
         return np.concatenate([padded[k : k + len(ids)] for k in range(_WIDE)], axis=1)
 
     def logits(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -111,8 +119,8 @@ def train(docs: list[np.ndarray], labels: np.ndarray, prior: float) -> Model:
             pick = order[first : first + BATCH]
             ids = np.concatenate([docs[i] for i in pick])
             at = np.concatenate([[0], np.cumsum([len(docs[i]) for i in pick])])
-            drop = (rng.random(len(ids)) < 0.1) & (ids != BUCKETS)  # dropped words keep a text from being told by one of them
-            ids = np.where(drop, BUCKETS, ids)
+            drop = rng.random(len(ids)) < 0.1  # dropped words keep a text from being told by one of them
+            ids = np.where(drop[:, None], BUCKETS, ids)
             windows = model.windows(ids)
             conv = windows @ model.filters
             peak = np.stack([conv[s:e].argmax(0) + s for s, e in zip(at[:-1], at[1:], strict=True)])
@@ -125,9 +133,9 @@ def train(docs: list[np.ndarray], labels: np.ndarray, prior: float) -> Model:
             grads = [None, np.einsum("bf,bfk->kf", back, seen) * mask, back.sum(0), pooled.T @ error + 1e-4 * model.out]
             to_words = (back[:, :, None] * model.filters.T).reshape(-1, DIM)
             touched = np.minimum(peak[:, :, None] + np.arange(_WIDE), len(ids) - 1)
-            rows, where = np.unique(ids[touched].ravel(), return_inverse=True)
+            rows, where = np.unique(ids[touched.ravel()], return_inverse=True)
             grad = np.zeros((len(rows), DIM), np.float32)
-            np.add.at(grad, where, to_words)
+            np.add.at(grad, where.reshape(-1, 2), to_words[:, None, :])
             grad[rows == BUCKETS] = 0
             squares[0][rows] += grad**2
             model.words[rows] -= rate * grad / np.sqrt(squares[0][rows])
@@ -168,13 +176,19 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
             words = pa.array([ids[s:e].tobytes() for s, e in zip(at[:-1], at[1:], strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in ("doc_id", "toxic")] + [words], ["doc_id", "toxic", "words"])
 
-    got = rows.mapInArrow(run, "doc_id long, toxic int, words binary").toArrow()
-    # The order of rows in files and tasks must not change the model.
-    order = sorted(zip(got["doc_id"].to_pylist(), got["words"].to_pylist(), got["toxic"].to_pylist(), strict=True))
-    y = np.array([x[2] for x in order], np.float32)
-    if len(set(y.tolist())) < 2:
-        return None
-    return train([np.frombuffer(x[1], np.int32) for x in order], y, totals[1] / (totals[0] + totals[1]))
+    prior = totals[1] / (totals[0] + totals[1])
+
+    def learn(batches):
+        # The order of rows in files and tasks must not change the model.
+        order = sorted(x for b in batches for x in zip(*(b.column(i).to_pylist() for i in (0, 2, 1)), strict=True))
+        y = np.array([x[2] for x in order], np.float32)
+        if len(set(y.tolist())) == 2:
+            model = train([np.frombuffer(x[1], np.int32).reshape(-1, 2) for x in order], y, prior)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    # The sample is bounded, so one task can learn from it; the driver gets the model alone.
+    made = rows.mapInArrow(run, "doc_id long, toxic int, words binary").repartition(1).mapInArrow(learn, "model binary").collect()
+    return pickle.loads(made[0]["model"]) if made else None
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -186,7 +200,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches):
         for part, found in texts(batches):
-            got = [shared.value.scores(chunk) for _, chunk in wordhash.chunks([t.encode() for t in found])]
+            got = [shared.value.scores(chunk) for _, chunk in wordhash.chunks([t.encode() for t in found], SCORED_BYTES)]
             yield pa.RecordBatch.from_arrays([part.column(1), pa.array(np.concatenate(got), pa.float64())], ["row", "score"])
 
     return rows.mapInArrow(run, "row " + rows.schema["row"].dataType.simpleString() + ", score double")

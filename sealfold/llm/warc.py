@@ -6,7 +6,7 @@ order; above the files' trees the same goes on to one root. An audit compares ro
 into branches whose hashes differ, so what it reads of the lower levels depends on the damage and not on the archive.
 
 Defined results: a null url or html counts as empty; a null id goes to a file of its own, first; records that repeat an id
-stand in the order of url and html; a record that only one replica has is missing or extra in the other (what follows it in
+stand in the order of their digests; a record that only one replica has is missing or extra in the other (what follows it in
 its file has moved, so it is damaged too); an empty table gives an empty archive without a root; other columns are ignored.
 """
 
@@ -40,10 +40,12 @@ def records(pages: DataFrame, file_records: int = FILE_RECORDS) -> DataFrame:
     page_id = F.col("page_id").cast("long")
     rows = pages.select(page_id.alias("page_id"), F.coalesce(F.floor(page_id / file_records), F.lit(-(2**62))).cast("long").alias("file"), text("url").alias("url"), text("html").alias("html"))
     rows = rows.select("page_id", "file", record(F.col("page_id"), F.col("url"), F.col("html")).alias("record"))
-    order = Window.partitionBy("file").orderBy("page_id", "record")
-    rows = rows.withColumn("length", F.octet_length("record").cast("long")).withColumn("n", F.row_number().over(order).cast("long") - 1)
+    # Ordered by digest, not by content: where only the index is wanted, no content is shuffled.
+    rows = rows.withColumns({"length": F.octet_length("record").cast("long"), "record_sha256": F.sha2(F.col("record").cast("binary"), 256)})
+    order = Window.partitionBy("file").orderBy("page_id", "record_sha256")
+    rows = rows.withColumn("n", F.row_number().over(order).cast("long") - 1)
     before = F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
-    return rows.withColumn("offset", before).select("page_id", "file", "n", "offset", "length", F.sha2(F.col("record").cast("binary"), 256).alias("record_sha256"), "record")
+    return rows.withColumn("offset", before).select("page_id", "file", "n", "offset", "length", "record_sha256", "record")
 
 
 def archive(found: DataFrame) -> DataFrame:
@@ -182,7 +184,7 @@ w AS (
   FROM p, e
 )
 SELECT page_id, file, row_number() OVER f - 1 AS n,
-  CAST(coalesce(sum(octet_length(encode(record))) OVER (PARTITION BY file ORDER BY page_id, record ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS record_offset,
+  CAST(coalesce(sum(octet_length(encode(record))) OVER (PARTITION BY file ORDER BY page_id, sha256(record) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS record_offset,
   CAST(octet_length(encode(record)) AS BIGINT) AS length, sha256(record) AS record_sha256, page_id % 97 = 5 AND length(html) > 0 AS damaged
-FROM w WINDOW f AS (PARTITION BY file ORDER BY page_id, record)
+FROM w WINDOW f AS (PARTITION BY file ORDER BY page_id, sha256(record))
 """

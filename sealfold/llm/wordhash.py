@@ -35,21 +35,36 @@ def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray | None = None) -> np.ndarray:
+    """The hash of each span of bytes; ``fold`` maps bytes first."""
+    n = len(data)
+    power, inverse = _power(n + 1)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(((data if fold is None else fold[data]).astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
+    return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+
+
 def words(texts: list[bytes], space: np.ndarray = _SPACE, fold: np.ndarray = _LOWER) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, index of its text). Words are runs of bytes outside ``space``; ``fold`` maps bytes first."""
     data = np.frombuffer(b"\n".join(texts), np.uint8)
-    n = len(data)
-    power, inverse = _power(n + 1)
     gap = np.concatenate([[True], space[data], [True]])
     edge = np.flatnonzero(gap[1:] != gap[:-1])
     starts, ends = edge[::2], edge[1::2]
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((fold[data].astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
-    h = mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    h = spans(data, starts, ends, fold)
     at = np.cumsum([0, *(len(t) + 1 for t in texts)])
     return h, np.searchsorted(at, starts, side="right") - 1
 
 
+def words_and_heads(texts: list[bytes], head: int, space: np.ndarray = _SPACE, fold: np.ndarray = _LOWER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each word, hash of its first ``head`` bytes, index of its text)."""
+    data = np.frombuffer(b"\n".join(texts), np.uint8)
+    gap = np.concatenate([[True], space[data], [True]])
+    edge = np.flatnonzero(gap[1:] != gap[:-1])
+    starts, ends = edge[::2], edge[1::2]
+    at = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    return spans(data, starts, ends, fold), spans(data, starts, np.minimum(ends, starts + head), fold), np.searchsorted(at, starts, side="right") - 1
+
+
 def shingles(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each distinct shingle of each text, offsets of the texts in it), ascending within a text.
 
