@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding with N-best segmentation over the piece lattice.
 
 A text is normalised as the model prescribes and cut into words (a piece never runs over the mark of a word's beginning,
-but for runs of marks). In a word's lattice a forward Viterbi pass gives the best score of reaching each position; these
+but for runs of marks), and words between letters that no piece has side by side. In a word's lattice a forward Viterbi pass gives the best score of reaching each position; these
 scores are exact heuristics for an A* search from the end backwards, which so meets the segmentations in order of their
 scores. The words' alternatives are joined in the same way, best first, into the N best segmentations of the whole text.
 A letter that no piece covers is written as its bytes, for a penalty below every piece's score.
@@ -33,8 +33,8 @@ MARK = "▁"
 N = 4
 #: Added to the least piece score for a letter that is written as bytes.
 PENALTY = -10.0
-#: Words whose alternatives a worker keeps; beyond that it starts over. A bound on memory only.
-KEPT_WORDS = 300_000
+#: Words whose best segmentation a worker keeps; beyond that it starts over. A bound on memory only.
+KEPT_WORDS = 600_000
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -55,7 +55,7 @@ class Lattice:
         self.longest = max(map(len, self.scores))
         #: Letters that some piece has side by side; between any others every segmentation is cut.
         self.pairs = {p[i : i + 2] for p in self.scores for i in range(len(p) - 1)}
-        self._known: dict[tuple[str, int], list] = {}
+        self._known: dict[str, tuple[float, tuple[int, ...], float]] = {}
 
     def normalize(self, text: str) -> str:
         """The model's normalisation, with word marks."""
@@ -72,25 +72,60 @@ class Lattice:
             out.append(here)
         return out
 
-    def word(self, word: str, n: int = N) -> list[tuple[float, tuple[int, ...]]]:
-        """The n best segmentations of one word, best first, as (score, ids)."""
-        known = self._known.get((word, n))
+    def best(self, word: str) -> tuple[float, tuple[int, ...], float]:
+        """(score, ids) of a word's best segmentation, and how much worse the second best is (infinite if there is none)."""
+        known = self._known.get(word)
         if known is None:
-            cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.pairs]
+            cuts = self.cuts(word)
             if cuts:
-                parts = [self.word(word[s:e], n) for s, e in zip([0, *cuts], [*cuts, len(word)], strict=True)]
-                known = []
-                for loss, changes in self.joint(parts, n):
-                    taken = dict(changes)
-                    known.append((sum(x[0][0] for x in parts) - loss, tuple(t for i, x in enumerate(parts) for t in x[taken.get(i, 0)][1])))
+                parts = [self.best(x) for x in cuts]
+                known = sum(x[0] for x in parts), tuple(t for x in parts for t in x[1]), min(x[2] for x in parts)
             else:
-                known = self.search(word, n)
+                known = self._viterbi(word)
             if len(word) <= 64:
                 if len(self._known) > KEPT_WORDS:
                     self._known.clear()
-                self._known[word, n] = known
+                self._known[word] = known
         return known
 
+    def cuts(self, word: str) -> list[str]:
+        """The parts of a word between which every segmentation is cut; none if it is one part."""
+        at = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.pairs]
+        return [word[s:e] for s, e in zip([0, *at], [*at, len(word)], strict=True)] if at else []
+
+    def _viterbi(self, word: str) -> tuple[float, tuple[int, ...], float]:
+        """Forward scores give the best path; with backward ones each piece off it shows the best path through that piece."""
+        edges, size = self.edges(word), len(word)
+        ahead = [0.0]
+        for end in range(1, size + 1):
+            ahead.append(max([ahead[s] + score for s, _, score in edges[end]]))
+        path, at = [], size
+        while at:
+            _, start, ids = min([(ids[::-1], s, ids) for s, ids, score in edges[at] if ahead[s] + score == ahead[at]])
+            path.append((start, at, ids))
+            at = start
+        back = [-np.inf] * size + [0.0]
+        for end in range(size, 0, -1):
+            rest = back[end]
+            for s, _, score in edges[end]:
+                if rest + score > back[s]:
+                    back[s] = rest + score
+        taken = {(s, e) for s, e, _ in path}
+        others = [ahead[s] + score + back[end] for end in range(1, size + 1) for s, _, score in edges[end] if (s, end) not in taken]
+        return ahead[size], tuple(t for _, _, ids in reversed(path) for t in ids), ahead[size] - max(others) if others else np.inf
+
+    def word(self, word: str, n: int = N) -> list[tuple[float, tuple[int, ...]]]:
+        """The n best segmentations of one word, best first, as (score, ids)."""
+        cuts = self.cuts(word)
+        if not cuts:
+            return self.search(word, n)
+        best = [self.best(x) for x in cuts]
+        total, out = sum(x[0] for x in best), []
+        for loss, changes in self.joint(cuts, best, n):
+            taken = dict(changes)
+            out.append((total - loss, tuple(t for i, x in enumerate(best) for t in taken.get(i, x[1]))))
+        return out
+
     def search(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """Forward Viterbi over a word's lattice, then A* from its end."""
         edges, best, push, pop = self.edges(word), [0.0], heapq.heappush, heapq.heappop
@@ -114,28 +149,26 @@ class Lattice:
     def segmentations(self, text: str, n: int = N) -> list[tuple[float, list[int]]]:
         """The n best segmentations of a whole text, best first, as (score, ids)."""
         words = _WORD.findall(self.normalize(text))
-        found = [self.word(w, n) for w in words]
-        first = [x[0][1] for x in found]
-        total = sum(x[0][0] for x in found)
-        out = []
-        for loss, changes in self.joint(found, n):
-            ids = list(first)
-            for i, k in changes:
-                ids[i] = found[i][k][1]
+        best = [self.best(w) for w in words]
+        total, out = sum(x[0] for x in best), []
+        for loss, changes in self.joint(words, best, n):
+            ids = [x[1] for x in best]
+            for i, other in changes:
+                ids[i] = other
             out.append((total - loss, [t for w in ids for t in w]))
         return out
 
-    @staticmethod
-    def joint(found: list[list[tuple[float, tuple[int, ...]]]], n: int) -> list[tuple[float, tuple[tuple[int, int], ...]]]:
-        """The n best choices of an alternative for each word, as (loss against the best, ((word, alternative), ...)).
+    def joint(self, words: list[str], best: list[tuple[float, tuple[int, ...], float]], n: int) -> list[tuple[float, tuple[tuple[int, tuple[int, ...]], ...]]]:
+        """The n best choices of a segmentation for each word, as (loss against the best, ((word, ids), ...)).
 
-        Only the n words with the least losses can be changed by any of them, earlier words first among equals.
+        Only the n words that lose least by their second best segmentation can be changed by any of them, earlier words
+        first among equals; so only these are searched for more.
         """
-        open_words = heapq.nsmallest(n, ((x[0][0] - x[1][0], i) for i, x in enumerate(found) if len(x) > 1))
-        states: list[tuple[float, tuple[tuple[int, int], ...]]] = [(0.0, ())]
+        open_words = heapq.nsmallest(n, ((x[2], i) for i, x in enumerate(best) if x[2] < np.inf)) if n > 1 else []
+        states: list[tuple[float, tuple[tuple[int, tuple[int, ...]], ...]]] = [(0.0, ())]
         for _, i in sorted(open_words, key=lambda x: x[1]):
-            words = found[i]
-            states = heapq.nsmallest(n, ((loss + words[0][0] - alt[0], (*changes, (i, k)) if k else changes) for loss, changes in states for k, alt in enumerate(words)))
+            found = self.word(words[i], n)
+            states = heapq.nsmallest(n, ((loss + found[0][0] - score, (*changes, (i, ids)) if k else changes) for loss, changes in states for k, (score, ids) in enumerate(found)))
         return states
 
     def decode(self, ids: list[int]) -> str:
@@ -179,10 +212,11 @@ def op4_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
             rows = []
             for d, t in zip(part.column(0).to_pylist(), found, strict=True):
                 text = model.normalize(t)
-                words = [model.word(w) for w in _WORD.findall(text)]
-                ids = [i for w in words for i in w[0][1]]
-                score = sum(w[0][0] for w in words)
-                losses = [loss for loss, _ in model.joint(words, N)][1:]
+                words = _WORD.findall(text)
+                best = [model.best(w) for w in words]
+                ids = [i for w in best for i in w[1]]
+                score = sum(w[0] for w in best)
+                losses = [loss for loss, _ in model.joint(words, best, N)][1:]
                 rows.append((d, len(ids), score, zlib.crc32(np.array(ids, "<u4").tobytes()), losses, model.decode(ids) == text))
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.float64()), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
