@@ -55,7 +55,7 @@ def archive(found: DataFrame) -> DataFrame:
 
 
 _LENGTH = re.compile(rb"^content-length:\s*([0-9]+)\s*$", re.IGNORECASE | re.MULTILINE)
-_HEADER = re.compile(rb"^([^:\r\n]+):\s*(.*?)\r?$", re.MULTILINE)
+_HEADER = re.compile(rb"^([^:\r\n]+):[ \t]*(.*?)\r?$", re.MULTILINE)
 
 
 def parse(content: bytes) -> list[tuple[int, int, dict[str, str], bytes]]:
