@@ -27,6 +27,14 @@ def _rows(batch: pa.RecordBatch) -> Iterator[Row]:
         yield make(*values)
 
 
+def partition_count(df: DataFrame) -> int:
+    """The partitions a frame will have. Behind a shuffle it is the configured number, for to ask Spark would run the stages before."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    if "Exchange" in plan and "InMemory" not in plan:
+        return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.rdd.getNumPartitions()
+
+
 def statistic(partitioner: Partitioner, data: Frame | DataFrame, zero: Any, seq_op: Callable, comb_op: Callable, batches: bool = False) -> Any:
     """Fold rows: seq_op(value, row) in partitions, comb_op(value, value) between them.
 
@@ -36,7 +44,7 @@ def statistic(partitioner: Partitioner, data: Frame | DataFrame, zero: Any, seq_
     """
     frame = as_frame(data)
     source = frame.df
-    fan_in = max(1, math.ceil(math.sqrt(source.rdd.getNumPartitions())))
+    fan_in = max(1, math.ceil(math.sqrt(partition_count(source))))
     frozen = pickle.dumps(zero)
 
     def fold(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

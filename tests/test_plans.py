@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sealfold.functions.vectors import add_in_place, num_features
+from sealfold.operators.statistic import partition_count
 from sealfold.plans import zones
 from sealfold.plans.audit import Frame, LeakageAuditor, LeakageError
 from sealfold.plans.modes import Mode
@@ -145,3 +146,8 @@ def test_add_in_place():
     a = np.array([1.0, 2.0])
     assert add_in_place(a, np.array([3.0, 4.0])) is a
     assert a.tolist() == [4.0, 6.0]
+
+
+def test_partition_count(spark):
+    assert partition_count(spark.range(9, numPartitions=7)) == 7
+    assert partition_count(spark.range(9).groupBy("id").count()) == int(spark.conf.get("spark.sql.shuffle.partitions"))
