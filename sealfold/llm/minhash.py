@@ -5,7 +5,7 @@
 2. Texts with equal shingle sets form a class, and one document stands for it from here on.
 3. Of the texts that share a band key, each is a candidate with one leader (another for each key), never with all.
 4. Candidates whose signatures agree enough (five deviations below the threshold still pass) are confirmed on their full
-   shingle sets: first each document's likeliest partner, then what the components found so far leave unconnected.
+   shingle sets: each document's two likeliest partners.
 5. Where a key still holds several components, each document outside the largest meets that component's most typical
    document. What then is still apart goes through an exact join on the rarest shingles of the documents of such keys. So
    no link that a band shows can be lost, whatever the leaders said, and groups of copies make few pairs, not all.
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sealfold.llm import wordhash
-from sealfold.llm.common import bloom, bloom_bits, documents, materialize, packed, with_maybe
+from sealfold.llm.common import bloom, bloom_bits, bounded_batches, documents, drop_garbage, materialize, packed, with_maybe
 from sealfold.llm.components import components
 from sealfold.llm.token_counts import texts
 
@@ -144,6 +144,17 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return _labelled(_labelled(pairs, labels, "a", "ca"), labels, "b", "cb").where("ca <> cb").select(pairs.columns)
 
 
+def _ends(candidates: DataFrame) -> DataFrame:
+    """x, a, b, est: each candidate pair for either end."""
+    return candidates.select(F.col("a").alias("x"), "a", "b", "est").union(candidates.select(F.col("b").alias("x"), "a", "b", "est"))
+
+
+def _likeliest(candidates: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are the likeliest of one of their ends."""
+    best = _ends(candidates).groupBy("x").agg(F.max(F.struct("est", F.xxhash64("a", "b").alias("h"), "a", "b")).alias("best"))
+    return best.select("best.a", "best.b").distinct()
+
+
 def _split(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, key, m, c and top for the keys that hold several components: a document's component, and the key's largest."""
     own = _labelled(buckets.select("doc_id", "key", "m"), labels, "doc_id", "c")
@@ -186,6 +197,8 @@ def _sharing_rare(rows: DataFrame, size: int, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs."""
     share = max(0.0, percent / 100 - 5 * (0.25 / (BANDS * ROWS)) ** 0.5 * (4 * (percent / 100) * (1 - percent / 100)) ** 0.5)
+    spark = docs.sparkSession
+    bounded_batches(spark)
     sketches = materialize(sketch(docs, size), "sketches")
     rows = sketches.count()
     alike = ["n", "s1", "s2"]
@@ -199,6 +212,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     buckets = materialize(_with_groups(keyed, keys, ["key"], "m", rows), "buckets")
     star = buckets.where("doc_id <> leader").select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct()
     candidates = materialize(_agreeing(star, reps, share), "candidates")
+    drop_garbage(spark)
     in_buckets = buckets.select("doc_id").distinct()
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     in_buckets = materialize(in_buckets, "ids")
@@ -206,34 +220,30 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     near = with_maybe(text, "doc_id", bloom(in_buckets, "doc_id", bits), bits).where("maybe").drop("maybe")  # only these texts are shuffled
     held = materialize(near.join(in_buckets, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
 
-    ends = candidates.select(F.col("a").alias("x"), "a", "b", "est").union(candidates.select(F.col("b").alias("x"), "a", "b", "est"))
-    order = F.struct("est", F.xxhash64("a", "b").alias("h"), "a", "b")
-    best = ends.groupBy("x").agg(F.max(order).alias("best")).select("best.a", "best.b").distinct()
-    best = materialize(best, "first")
-    links = materialize(confirmed(best, held, size, percent), "links")
-    labels = components(links)
-    tried = best
-    rest = materialize(_apart(candidates.select("a", "b").join(tried, ["a", "b"], "left_anti"), labels), "second")
-    links = links.union(materialize(confirmed(rest, held, size, percent), "links"))
+    first = _likeliest(candidates)
+    second = _likeliest(candidates.join(first, ["a", "b"], "left_anti"))
+    tried = materialize(first.union(second).distinct(), "likeliest")
+    links = materialize(confirmed(tried, held, size, percent), "links")
     labels = components(links)
-    tried = tried.union(rest)
+    drop_garbage(spark)
 
     # Keys that hold several components: first each document outside the largest one meets that component's most typical
     # document, the one most like its candidates on the whole: what copies were made from is closer to all than they are.
     split = materialize(_split(buckets, labels), "split")
-    typical = ends.groupBy("x").agg(F.avg("est").alias("near")).withColumnRenamed("x", "doc_id")
+    typical = _ends(candidates).groupBy("x").agg(F.avg("est").alias("near")).withColumnRenamed("x", "doc_id")
     hub = split.where("c = top").join(typical, "doc_id").groupBy("key").agg(F.max(F.struct("near", "doc_id")).alias("hub")).select("key", F.col("hub.doc_id").alias("hub"))
     met = split.where("c <> top").join(hub, "key").select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
     met = materialize(_agreeing(met.join(tried, ["a", "b"], "left_anti"), reps, share).select("a", "b"), "third")
     links = links.union(materialize(confirmed(met, held, size, percent), "links"))
     labels = components(links)
     tried = tried.union(met)
+    drop_garbage(spark)
 
     # What is still apart can only be linked by rare shingles: an exact join finds such pairs.
     still = materialize(_split(split.select("doc_id", "key", "m"), labels), "split")
     sides = still.groupBy("doc_id").agg(F.max(F.col("c") != F.col("top")).alias("outside"), F.first("c").alias("c"))
     pairs = _sharing_rare(held.join(sides, "doc_id"), size, percent)
-    last = _agreeing(pairs.join(tried, ["a", "b"], "left_anti"), reps, share)
+    last = pairs.join(tried, ["a", "b"], "left_anti")
     links = materialize(links.union(confirmed(last, held, size, percent)), "links")
     labels = materialize(components(links), "labels")
 
