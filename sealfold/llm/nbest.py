@@ -16,10 +16,13 @@ independent, so ties, repeated rows and other columns don't matter; an empty tab
 
 from __future__ import annotations
 
+import gc
 import heapq
 import re
 import zlib
 from functools import lru_cache
+from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +37,8 @@ N = 4
 #: Added to the least piece score for a letter that is written as bytes.
 PENALTY = -10.0
 #: Words whose best segmentation a worker keeps; beyond that it starts over. A bound on memory only.
-KEPT_WORDS = 600_000
-_WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+KEPT_WORDS = 1_000_000
+_BASE = 0x9E3779B97F4A7C55
 
 
 class Lattice:
@@ -52,10 +55,118 @@ class Lattice:
         usable = [s for _, s in self.scores.values() if s > -1e6]
         self.penalty = min(usable) + PENALTY
         self.bytes = {int(p[1:-1], 16): i for i, p in enumerate(self.pieces) if self.model.is_byte(i)}
+        self.raw = [bytes([int(p[1:-1], 16)]) if self.model.is_byte(i) else p.encode() for i, p in enumerate(self.pieces)]
         self.longest = max(map(len, self.scores))
         #: Letters that some piece has side by side; between any others every segmentation is cut.
         self.pairs = {p[i : i + 2] for p in self.scores for i in range(len(p) - 1)}
+        self.pattern = self._pattern()
         self._known: dict[str, tuple[float, tuple[int, ...], float]] = {}
+        self._alternatives: dict[tuple[str, int], list[tuple[float, tuple[int, ...]]]] = {}
+        #: By length in letters: hashes of the pieces, ascending, with their ids and scores.
+        self.tables = []
+        for size in range(1, self.longest + 1):
+            found = sorted((self._hash(p), i, s) for p, (i, s) in self.scores.items() if len(p) == size)
+            self.tables.append((np.array([x[0] for x in found], np.uint64), np.array([x[1] for x in found], np.int64), np.array([x[2] for x in found])))
+
+    def _pattern(self) -> re.Pattern:
+        """Words, with signs that no piece puts beside a letter or digit apart from them, so that fewer words differ."""
+        signs = {chr(c) for c in range(128) if not chr(c).isalnum()}
+        while bad := {x for p in self.pairs for x, y in (p, p[::-1]) if x in signs and y not in signs and y != MARK}:
+            signs -= bad
+        apart = "".join(re.escape(c) for c in sorted(signs))
+        return re.compile(f"{MARK}*[^{MARK}{apart}]+|{MARK}*[{apart}]+|{MARK}+" if apart else f"{MARK}*[^{MARK}]+|{MARK}+")
+
+    @staticmethod
+    def _hash(piece: str) -> int:
+        h = 0
+        for c in piece:
+            h = (h * _BASE + ord(c)) % 2**64
+        return h
+
+    def all_best(self, texts: list[list[str]]) -> list[list[tuple[float, tuple[int, ...], float]]]:
+        """best() of all words of some texts."""
+        if len(self._known) > KEPT_WORDS:
+            self._known.clear()
+        self.learn(set().union(*texts))
+        out = []
+        for words in texts:
+            found = list(map(self._known.get, words))
+            out.append(found if None not in found else [self.best(w) for w in words])
+        return out
+
+    def learn(self, words: set[str]) -> None:
+        """Find the best segmentations of words that are not known yet, all words of a length at once."""
+        new = words - self._known.keys()
+        parts = {w: self.cuts(w) for w in new}
+        alone: dict[int, set[str]] = {}
+        for w, found in parts.items():
+            for x in found or [w]:
+                if len(x) <= 64 and x not in self._known:
+                    alone.setdefault(len(x), set()).add(x)
+        for size, found in alone.items():
+            same = sorted(found)
+            for at in range(0, len(same), 8192):
+                self._learn_length(same[at : at + 8192], size)
+        for w, found in parts.items():
+            if found and len(w) <= 64:
+                self._known[w] = self._joined(found)
+
+    def _learn_length(self, words: list[str], size: int) -> None:
+        """What _viterbi() does, for many words of one length: rows are words, columns positions."""
+        letters = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), size).astype(np.uint64)
+        most, n = min(size, self.longest), len(words)
+        scores, ids = [], []  # by length of piece, at its start
+        run = np.zeros((n, size), np.uint64)
+        for k in range(1, most + 1):
+            run = run[:, : size - k + 1] * np.uint64(_BASE) + letters[:, k - 1 :]
+            hashes, own, score = self.tables[k - 1]
+            if len(hashes):
+                at = np.minimum(np.searchsorted(hashes, run.ravel()), len(hashes) - 1)
+                hit = hashes[at] == run.ravel()
+                scores.append(np.where(hit, score[at], -np.inf).reshape(run.shape))
+                ids.append(np.where(hit, own[at], 1 << 40).reshape(run.shape))
+            else:
+                scores.append(np.full(run.shape, -np.inf))
+                ids.append(np.full(run.shape, 1 << 40))
+        bare = np.isinf(scores[0])
+        scores[0][bare], ids[0][bare] = self.penalty, 0  # as bytes; they have the least ids
+        ahead = np.zeros((n, size + 1))
+        length = np.zeros((n, size + 1), np.int64)
+        for end in range(1, size + 1):
+            reach = range(1, min(end, most) + 1)
+            total = np.stack([ahead[:, end - k] + scores[k - 1][:, end - k] for k in reach])
+            top = total.max(0)
+            ahead[:, end] = top
+            length[:, end] = np.where(total == top, np.stack([ids[k - 1][:, end - k] for k in reach]), 1 << 41).argmin(0) + 1
+        back = np.full((n, size + 1), -np.inf)
+        back[:, size] = 0
+        for start in range(size - 1, -1, -1):
+            back[:, start] = np.stack([scores[k - 1][:, start] + back[:, start + k] for k in range(1, min(size - start, most) + 1)]).max(0)
+        at, row = np.full(n, size), np.arange(n)
+        on_path = np.zeros((most + 1, n, size), bool)
+        steps = []
+        while (left := at > 0).any():
+            k = np.where(left, length[row, at], 1)
+            start = np.where(left, at - k, 0)
+            on_path[k[left], row[left], start[left]] = True
+            taken = np.full(n, -1, np.int64)
+            for size_k in np.unique(k[left]):
+                mine = left & (k == size_k)
+                taken[mine] = ids[size_k - 1][row[mine], start[mine]]
+            steps.append((taken, start))
+            at = np.where(left, start, 0)
+        second = np.full(n, -np.inf)
+        for k in range(1, most + 1):
+            through = ahead[:, : size - k + 1] + scores[k - 1] + back[:, k:]
+            second = np.maximum(second, np.where(on_path[k][:, : size - k + 1], -np.inf, through).max(1))
+        loss = ahead[:, size] - second
+        taken, starts = np.array([x[0] for x in steps]).T[:, ::-1].tolist(), np.array([x[1] for x in steps]).T[:, ::-1].tolist()
+        for w, t, s, total, less in zip(words, taken, starts, ahead[:, size].tolist(), loss.tolist(), strict=True):
+            if 0 in t:
+                flat = tuple(b for i, at_ in zip(t, s, strict=True) if i >= 0 for b in ((i,) if i else tuple(self.bytes[x] for x in w[at_].encode())))
+            else:
+                flat = tuple(i for i in t if i >= 0)
+            self._known[w] = total, flat, less
 
     def normalize(self, text: str) -> str:
         """The model's normalisation, with word marks."""
@@ -78,8 +189,7 @@ class Lattice:
         if known is None:
             cuts = self.cuts(word)
             if cuts:
-                parts = [self.best(x) for x in cuts]
-                known = sum(x[0] for x in parts), tuple(t for x in parts for t in x[1]), min(x[2] for x in parts)
+                known = self._joined(cuts)
             else:
                 known = self._viterbi(word)
             if len(word) <= 64:
@@ -88,6 +198,10 @@ class Lattice:
                 self._known[word] = known
         return known
 
+    def _joined(self, cuts: list[str]) -> tuple[float, tuple[int, ...], float]:
+        parts = [self.best(x) for x in cuts]
+        return sum(x[0] for x in parts), tuple(t for x in parts for t in x[1]), min(x[2] for x in parts)
+
     def cuts(self, word: str) -> list[str]:
         """The parts of a word between which every segmentation is cut; none if it is one part."""
         at = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.pairs]
@@ -148,7 +262,7 @@ class Lattice:
 
     def segmentations(self, text: str, n: int = N) -> list[tuple[float, list[int]]]:
         """The n best segmentations of a whole text, best first, as (score, ids)."""
-        words = _WORD.findall(self.normalize(text))
+        words = self.pattern.findall(self.normalize(text))
         best = [self.best(w) for w in words]
         total, out = sum(x[0] for x in best), []
         for loss, changes in self.joint(words, best, n):
@@ -164,19 +278,20 @@ class Lattice:
         Only the n words that lose least by their second best segmentation can be changed by any of them, earlier words
         first among equals; so only these are searched for more.
         """
-        open_words = heapq.nsmallest(n, ((x[2], i) for i, x in enumerate(best) if x[2] < np.inf)) if n > 1 else []
+        losses = np.fromiter(map(itemgetter(2), best), float, len(best)) if n > 1 else np.zeros(0)
+        open_words = [i for i in np.argsort(losses, kind="stable")[:n].tolist() if losses[i] < np.inf]
         states: list[tuple[float, tuple[tuple[int, tuple[int, ...]], ...]]] = [(0.0, ())]
-        for _, i in sorted(open_words, key=lambda x: x[1]):
-            found = self.word(words[i], n)
+        for i in sorted(open_words):
+            if (found := self._alternatives.get((words[i], n))) is None:
+                if len(self._alternatives) > KEPT_WORDS // 10:
+                    self._alternatives.clear()
+                found = self._alternatives[words[i], n] = self.word(words[i], n)
             states = heapq.nsmallest(n, ((loss + found[0][0] - score, (*changes, (i, ids)) if k else changes) for loss, changes in states for k, (score, ids) in enumerate(found)))
         return states
 
     def decode(self, ids: list[int]) -> str:
         """The normalised text, with word marks, that ids stand for."""
-        out = bytearray()
-        for i in ids:
-            out += bytes([int(self.pieces[i][1:-1], 16)]) if self.model.is_byte(i) else self.pieces[i].encode()
-        return out.decode()
+        return b"".join(map(self.raw.__getitem__, ids)).decode()
 
 
 @lru_cache(None)
@@ -207,15 +322,22 @@ def op4_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ["doc_id", "n_pieces", "score", "ids_crc32", "losses", "round_trip"]
 
     def run(batches):
+        # What is kept are tuples without cycles, by the million: looking through them for garbage takes longer than the search.
+        gc.disable()
+        try:
+            yield from digests(batches)
+        finally:
+            gc.enable()
+
+    def digests(batches):
         model = lattice(path)
         for part, found in texts(batches, 256):
             rows = []
-            for d, t in zip(part.column(0).to_pylist(), found, strict=True):
-                text = model.normalize(t)
-                words = _WORD.findall(text)
-                best = [model.best(w) for w in words]
-                ids = [i for w in best for i in w[1]]
-                score = sum(w[0] for w in best)
+            normal = [model.normalize(t) for t in found]
+            cut = [model.pattern.findall(t) for t in normal]
+            for d, text, words, best in zip(part.column(0).to_pylist(), normal, cut, model.all_best(cut), strict=True):
+                ids = list(chain.from_iterable(map(itemgetter(1), best)))
+                score = sum(map(itemgetter(0), best))
                 losses = [loss for loss, _ in model.joint(words, best, N)][1:]
                 rows.append((d, len(ids), score, zlib.crc32(np.array(ids, "<u4").tobytes()), losses, model.decode(ids) == text))
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.float64()), pa.bool_()]

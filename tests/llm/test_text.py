@@ -148,6 +148,17 @@ def test_best_segmentations_of_a_word(model, word, n):
     assert [s for s, _ in model.word(word, n)] == [-s for s, _ in want]
 
 
+def test_many_words_at_once(model):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("▁thean𝄞é,") for _ in range(rng.randint(1, 9))) for _ in range(400)] + ["▁" + "x" * 100]
+    fresh = nbest.Lattice(tokenizer_path("piece_bpe_32k.model"))
+    for w, got in zip(words, fresh.all_best([words])[0], strict=True):
+        want = every_segmentation(model, w)[:2] if len(w) < 10 else None
+        assert got == model.best(w)
+        if want and not model.cuts(w):
+            assert got == (-want[0][0], want[0][1][::-1], want[1][0] - want[0][0] if len(want) > 1 else np.inf)
+
+
 def test_best_segmentations_of_a_text(model):
     text = "on the hut"
     whole = every_segmentation(model, model.normalize(text))[:5]
