@@ -33,7 +33,7 @@ CAPACITY, END = 2048, 0
 #: Rows of one length that are ranked in one task.
 RANKED_ROWS = 200_000
 #: Words whose ids a worker keeps; beyond that it starts over. A bound on memory only.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 3_000_000
 _WORDS = r"'s|'t|'re|'ve|'m|'ll|'d"
 ASCII_WORDS = re.compile(rf"{_WORDS}|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 LATIN_WORDS = regex.compile(rf"{_WORDS}|[\p{{L}}]+|[\p{{N}}]|[^\p{{White_Space}}\p{{L}}\p{{N}}]+")
@@ -65,25 +65,45 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.words_alone = Tokenizer.from_file(path), words_alone
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._forget()
 
     def _forget(self) -> None:
-        self.places: dict[int, int] = {}  # hash of a word -> its place in starts
-        self.starts, self.ids, self.used = np.zeros(1 << 12, np.int64), np.zeros(1 << 14, "<u4"), 0
+        """No words yet: their hashes, ascending; of each, where its ids begin and how many there are; the ids."""
+        self.hashes, self.begins, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.used = np.zeros(1 << 14, "<u4"), 0
 
     def _whole(self, found: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(found, add_special_tokens=False)]
 
-    def _learn(self, hashes: list[int], words: list[str]) -> None:
-        for h, ids in zip(hashes, self._whole(words), strict=True):
-            while self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-            self.places[h] = n = len(self.places)
-            if n + 2 > len(self.starts):
-                self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-            self.starts[n + 1] = self.used
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, number of them in each). Many words go as one text, which is cut again where tokens end a word."""
+        ids = np.concatenate(self._whole([" ".join(words[i : i + 512]) for i in range(0, len(words), 512)]))
+        ends = np.flatnonzero(self.ends_word[ids])
+        if len(ends) == len(words) and ends[-1] == len(ids) - 1:
+            return ids, np.diff(ends, prepend=-1)
+        each = self._whole(words)
+        return np.concatenate(each), np.array([len(x) for x in each])
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        ids, sizes = self._words(words)
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        at = np.searchsorted(self.hashes, hashes)
+        self.begins = np.insert(self.begins, at, self.used + np.cumsum(sizes) - sizes)
+        self.sizes = np.insert(self.sizes, at, sizes)
+        self.hashes = np.insert(self.hashes, at, hashes)
+        self.used += len(ids)
+
+    def _known(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places of hashes among the known, whether they are known)."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return at, self.hashes[at] == hashes
 
     def _plain(self, found: list[bytes]) -> list[bytes]:
         """Ids of lower-cased texts whose words are runs of one class of bytes, digits one by one."""
@@ -95,18 +115,15 @@ class Encoder:
         word = kind[starts] != 0 if len(data) else np.zeros(0, bool)
         starts, ends = starts[word], ends[word]
         distinct, first, which = np.unique(wordhash.spans(data, starts, ends), return_index=True, return_inverse=True)
-        distinct = distinct.tolist()
-        if len(self.places) > KEPT_WORDS:
-            self._forget()
-        found_places = list(map(self.places.get, distinct))
-        if None in found_places:
-            new = [i for i, x in enumerate(found_places) if x is None]
-            raw = data.tobytes()
-            self._learn([distinct[i] for i in new], [raw[starts[first[i]] : ends[first[i]]].decode() for i in new])
-            for i in new:
-                found_places[i] = self.places[distinct[i]]
-        place = np.array(found_places, np.int64)
-        begin, size = self.starts[place][which], (self.starts[place + 1] - self.starts[place])[which]
+        place, known = self._known(distinct)
+        if not known.all():
+            if len(self.hashes) > KEPT_WORDS:
+                self._forget()
+                known[:] = False
+            new, raw = np.flatnonzero(~known), data.tobytes()
+            self._learn(distinct[new], [raw[s:e].decode() for s, e in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+            place, _ = self._known(distinct)
+        begin, size = self.begins[place][which], self.sizes[place][which]
         total = np.concatenate([[0], np.cumsum(size)])
         ids = self.ids[np.arange(total[-1]) + np.repeat(begin - total[:-1], size)]
         at = np.cumsum([0, *(len(t) + 1 for t in found)])
