@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from sealfold.llm.common import materialize
+from sealfold.llm.common import drop_garbage, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -17,7 +17,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     out = linked.select(F.col("v").alias("u"), F.col("m").alias("v"))
     if not large:
         out = out.union(least.select("u", F.col("m").alias("v")))
-    return out.where("u > v").distinct()
+    out = out.where("u > v")
+    return out if large else out.distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -29,8 +30,10 @@ def components(edges: DataFrame) -> DataFrame:
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     before = None
     while True:
-        now = materialize(_star(_star(now, True), False), "stars")
-        mark = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        seen = Observation()  # counted while the round is written, without a job of its own
+        now = materialize(_star(_star(now, True), False).observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("mark")), "stars")
+        drop_garbage(edges.sparkSession)
+        mark = tuple(seen.get[k] for k in ("n", "mark"))
         if mark == before:
             break
         before = mark

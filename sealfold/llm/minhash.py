@@ -28,8 +28,6 @@ from sealfold.llm.components import components
 from sealfold.llm.token_counts import texts
 
 BANDS, ROWS = 32, 5
-#: A group is hot above this share of the rows; so there are at most 1 / HOT_SHARE hot groups, and they may be broadcast.
-HOT_SHARE = 0.001
 _SEED = 20240229
 #: Sizes of sets within this factor of each other are one class.
 SIZE_CLASS = 1.03
@@ -85,14 +83,6 @@ def sketch(docs: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, sig binary, bands array<long>")
 
 
-def _with_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, n: int) -> DataFrame:
-    """rows joined to groups. Groups above the hot share are few and broadcast, so no task gets one whole."""
-    most = max(1000, int(n * HOT_SHARE))
-    hot = F.broadcast(groups.where(F.col(size) > most))
-    cold = groups.where(F.col(size) <= most)
-    return rows.join(hot, on).unionByName(rows.join(hot.select(on), on, "left_anti").join(cold, on))
-
-
 def _agreeing(pairs: DataFrame, sketches: DataFrame, share: float) -> DataFrame:
     """(a, b, est) of the pairs (a, b) whose signatures agree in so large a share of the minima."""
     sig = sketches.select("doc_id", "sig")
@@ -155,6 +145,11 @@ def _likeliest(candidates: DataFrame) -> DataFrame:
     return best.select("best.a", "best.b").distinct()
 
 
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The components of what labels and links connect. Labels are stars already, so this takes few rounds."""
+    return components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
+
+
 def _split(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, key, m, c and top for the keys that hold several components: a document's component, and the key's largest."""
     own = _labelled(buckets.select("doc_id", "key", "m"), labels, "doc_id", "c")
@@ -203,13 +198,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     rows = sketches.count()
     alike = ["n", "s1", "s2"]
     usable = sketches.where("n > 0 and doc_id is not null")
-    classes = usable.groupBy(*alike).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    members = materialize(_with_groups(usable.select("doc_id", *alike), classes, alike, "copies", rows).select("doc_id", "n", "rep"), "members")
+    classes = usable.groupBy(*alike).agg(F.min("doc_id").alias("rep"))
+    members = materialize(usable.select("doc_id", *alike).join(classes, alike).select("doc_id", "n", "rep"), "members")
     reps = materialize(usable.join(members.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "sig", "bands"), "reps")
     keyed = reps.select("doc_id", F.explode("bands").alias("key"))
+    # Joins to groups are inner joins between two plain exchanges: where a group is hot, adaptive execution splits its rows.
     # The least of id xor key is an id, and another one for each key: a leader that partial aggregation can find.
     keys = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.col("doc_id").bitwiseXOR(F.col("key"))).alias("x")).where("m > 1").select("key", "m", F.col("x").bitwiseXOR(F.col("key")).alias("leader"))
-    buckets = materialize(_with_groups(keyed, keys, ["key"], "m", rows), "buckets")
+    buckets = materialize(keyed.join(keys, "key"), "buckets")
     star = buckets.where("doc_id <> leader").select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct()
     candidates = materialize(_agreeing(star, reps, share), "candidates")
     drop_garbage(spark)
@@ -219,6 +215,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     bits = bloom_bits(rows)
     near = with_maybe(text, "doc_id", bloom(in_buckets, "doc_id", bits), bits).where("maybe").drop("maybe")  # only these texts are shuffled
     held = materialize(near.join(in_buckets, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    drop_garbage(spark)
 
     first = _likeliest(candidates)
     second = _likeliest(candidates.join(first, ["a", "b"], "left_anti"))
@@ -234,8 +231,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     hub = split.where("c = top").join(typical, "doc_id").groupBy("key").agg(F.max(F.struct("near", "doc_id")).alias("hub")).select("key", F.col("hub.doc_id").alias("hub"))
     met = split.where("c <> top").join(hub, "key").select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
     met = materialize(_agreeing(met.join(tried, ["a", "b"], "left_anti"), reps, share).select("a", "b"), "third")
-    links = links.union(materialize(confirmed(met, held, size, percent), "links"))
-    labels = components(links)
+    labels = _joined(labels, materialize(confirmed(met, held, size, percent), "links"))
     tried = tried.union(met)
     drop_garbage(spark)
 
@@ -244,21 +240,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     sides = still.groupBy("doc_id").agg(F.max(F.col("c") != F.col("top")).alias("outside"), F.first("c").alias("c"))
     pairs = _sharing_rare(held.join(sides, "doc_id"), size, percent)
     last = pairs.join(tried, ["a", "b"], "left_anti")
-    links = materialize(links.union(confirmed(last, held, size, percent)), "links")
-    labels = materialize(components(links), "labels")
+    labels = _joined(labels, materialize(confirmed(last, held, size, percent), "links"))
 
-    named = _with_names(members, labels, rows)
+    named = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     alone = sketches.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return named.unionByName(alone)
 
 
-def _with_names(members: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """members with their class's component. Only classes of several documents can be hot, and those above the hot share are broadcast."""
-    linked = members.groupBy("rep").agg(F.count(F.lit(1)).alias("copies")).join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    linked = linked.select("rep", "copies", F.coalesce("component", "rep").alias("component_id"))
-    return _with_groups(members, linked, ["rep"], "copies", rows).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-
-
 def deduplicate(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that stay, one of each component, with all their columns."""
     found = materialize(near_duplicates(docs, size, percent), "found")
