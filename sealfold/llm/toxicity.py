@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sealfold.llm import wordhash
-from sealfold.llm.common import documents, materialize, packed
+from sealfold.llm.common import bounded_batches, documents, materialize, packed
 from sealfold.llm.token_counts import texts
 
 BUCKETS, DIM, WIDTHS, FILTERS = 2**17, 8, (1, 2, 3), 16
@@ -162,6 +162,7 @@ def usable_labels(labels: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     """A model of a bounded sample of labelled rows; None without labels of both kinds."""
+    bounded_batches(docs.sparkSession)
     known = usable_labels(labels)
     totals = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     if len(totals) < 2:
