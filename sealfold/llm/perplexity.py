@@ -4,7 +4,8 @@ The model is trained on trusted text: all documents labelled good, but for a fif
 compressed blocks. Each block gives its trusted n-gram counts and the n-grams it has; counts are summed and joined as
 tables sharded by language and n-gram, never gathered; each block gets back the probabilities of its own n-grams and
 scores its documents. A document is kept if its perplexity lies between two quantiles of its language's held-out trusted
-documents (of all languages together where its own has fewer than 200).
+documents. A language's quantiles are drawn towards those of all languages together as if by POOLED documents more, so their
+weight falls smoothly as the language grows; a language without held-out trusted documents takes the common ones.
 
 Defined results: a null or empty text is the end of text alone; a language (or null language) without trusted text is
 scored by the uniform model; without held-out trusted text at all everything is kept; labels of null or unknown documents
@@ -29,8 +30,8 @@ ORDER = 4
 #: Documents a block is meant to hold, and bytes of text that are compressed together.
 BLOCK_ROWS, BLOB_BYTES = 8000, 1 << 18
 QUANTILES = (0.0005, 0.995)
-#: Held-out trusted documents a language needs for quantiles of its own.
-OWN_QUANTILES = 200
+#: The weight of all languages' quantiles in a language's own, in held-out trusted documents.
+POOLED = 10
 #: Languages whose discounts are broadcast.
 MOST_BROADCAST = 10_000
 _LOWER = np.arange(256, dtype=np.uint64)
@@ -233,9 +234,10 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     held = found.join(good.where(held_out(F.col("doc_id"))), "doc_id")
     marks = F.percentile_approx("perplexity", list(QUANTILES), 10000).alias("marks")
     every = held.agg(marks).first()["marks"] or [0.0, float("inf")]
-    each = {r["lang"]: r["marks"] for r in held.where("lang is not null").groupBy("lang").agg(marks, F.count(F.lit(1)).alias("n")).where(F.col("n") >= OWN_QUANTILES).collect()}  # a row a language
-    bound = lambda i: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for k, v in each.items() for x in (k, float(v[i]))]), F.coalesce("lang", F.lit("\0"))), F.lit(float(every[i]))) if each else F.lit(float(every[i]))
-    return found.withColumns({"low": bound(0), "high": bound(1)}).withColumn("kept", F.col("perplexity").between(F.col("low"), F.col("high")))
+    each = held.groupBy(F.col("lang").alias("__l")).agg(marks, (F.count(F.lit(1)) / (F.count(F.lit(1)) + POOLED)).alias("share"))  # a row a language
+    bound = lambda i: F.coalesce(F.lit(float(every[i])) + F.col("share") * (F.col("marks")[i] - F.lit(float(every[i]))), F.lit(float(every[i])))
+    out = found.join(F.broadcast(each), F.col("__l").eqNullSafe(F.col("lang")), "left").withColumns({"low": bound(0), "high": bound(1)}).drop("__l", "marks", "share")
+    return out.withColumn("kept", F.col("perplexity").between(F.col("low"), F.col("high")))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -249,6 +249,26 @@ def test_perplexity_without_trusted_text(spark):
     assert perplexity.quality(d.limit(0), labels).count() == 0
 
 
+def test_small_languages_have_thresholds_of_their_own(spark):
+    rng = random.Random(8)
+    common = lambda words: " ".join(rng.choice(words) for _ in range(30))
+    rows = [(i, common(["the", "then", "hat"]), "en") for i in range(900)] + [(i, common([f"{a}{b}" for a in "abcdefgh" for b in "stuvwxyz"]), "xx") for i in range(1000, 1150)]
+    rows += [(2000, "the hat", "yy"), (2001, "qqq", None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(r[0], 1, 0) for r in rows if r[0] < 2000], "doc_id long, quality int, toxic int")
+    got = perplexity.quality(d, labels).collect()
+    bounds = {lang: {(r["low"], r["high"]) for r in got if r["lang"] == lang} for lang in ("en", "xx", "yy", None)}
+    assert all(len(b) == 1 for b in bounds.values()) and bounds["yy"] == bounds[None]
+    import zlib
+
+    for lang in ("en", "xx"):
+        held = [r["perplexity"] for r in got if r["lang"] == lang and not zlib.crc32(str(r["doc_id"]).encode()) % 5]
+        w = len(held) / (len(held) + perplexity.POOLED)
+        for mine, common_, own in zip(next(iter(bounds[lang])), next(iter(bounds["yy"])), (min(held), max(held)), strict=True):
+            assert mine == pytest.approx(common_ + w * (own - common_), rel=1e-9)
+    assert bounds["xx"] != bounds["yy"]
+
+
 # --- toxicity --------------------------------------------------------------------------------------------------------
 
 
