@@ -316,32 +316,49 @@ def encode(docs: DataFrame, n: int = N, path: str | None = None) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, rank int, score double, ids array<int>, text string")
 
 
-def op4_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each document: the pieces, score and CRC of the best segmentation, how much worse the following are, and whether all decode to one text."""
-    path = tokenizer_path("piece_bpe_32k.model")
-    names = ["doc_id", "n_pieces", "score", "ids_crc32", "losses", "round_trip"]
+def digest(model: Lattice, text: str, words: list[str], best: list[tuple[float, tuple[int, ...], float]], n: int) -> tuple[int, float, int, list[float], list[int], bool]:
+    """n_pieces, score and CRC of a normalised text's best segmentation, losses and CRCs of the following ones, and whether all n decode to the text."""
+    parts, sizes, losses, crcs, right = list(map(itemgetter(1), best)), [], [], [], True
+    for loss, changes in model.joint(words, best, n):
+        own = parts
+        if changes:
+            own = parts.copy()
+            for i, other in changes:
+                own[i] = other
+        ids = list(chain.from_iterable(own))
+        sizes.append(len(ids))
+        losses.append(loss)
+        crcs.append(zlib.crc32(np.array(ids, "<u4").tobytes()))
+        right = model.decode(ids) == text and right
+    return sizes[0], sum(map(itemgetter(0), best)), crcs[0], losses[1:], crcs[1:], right
+
+
+def digests(docs: DataFrame, n: int = N, path: str | None = None) -> DataFrame:
+    """doc_id and digest() of the n best segmentations of each text: those of encode(), without their ids and texts."""
+    path = path or tokenizer_path("piece_bpe_32k.model")
+    names = ["doc_id", "n_pieces", "score", "ids_crc32", "losses", "others_crc32", "round_trip"]
 
     def run(batches):
         # What is kept are tuples without cycles, by the million: looking through them for garbage takes longer than the search.
         gc.disable()
         try:
-            yield from digests(batches)
+            yield from found_in(batches)
         finally:
             gc.enable()
 
-    def digests(batches):
+    def found_in(batches):
         model = lattice(path)
         for part, found in texts(batches, 256):
-            rows = []
             normal = [model.normalize(t) for t in found]
             cut = [model.pattern.findall(t) for t in normal]
-            for d, text, words, best in zip(part.column(0).to_pylist(), normal, cut, model.all_best(cut), strict=True):
-                ids = list(chain.from_iterable(map(itemgetter(1), best)))
-                score = sum(map(itemgetter(0), best))
-                losses = [loss for loss, _ in model.joint(words, best, N)][1:]
-                rows.append((d, len(ids), score, zlib.crc32(np.array(ids, "<u4").tobytes()), losses, model.decode(ids) == text))
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.float64()), pa.bool_()]
+            rows = [(d, *digest(model, text, words, best, n)) for d, text, words, best in zip(part.column(0).to_pylist(), normal, cut, model.all_best(cut), strict=True)]
+            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    docs = documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(run, "doc_id long, n_pieces long, score double, ids_crc32 long, losses array<double>, round_trip boolean")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, n_pieces long, score double, ids_crc32 long, losses array<double>, others_crc32 array<long>, round_trip boolean")
+
+
+def op4_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each document: the pieces, score and CRC of the best segmentation, how much worse the following are, their CRCs, and whether all decode to one text."""
+    return digests(documents(spark, sf_dir))

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -180,6 +181,24 @@ def test_encode_operator(spark, model):
         assert scores == sorted(scores, reverse=True)
 
 
+def test_digests_are_of_all_segmentations(spark, model, monkeypatch):
+    rows = [(1, None), (2, ""), (3, "ab  é𝄞\n<s>"), (4, "q" * 300), (5, "on the hut, then")]
+    want = defaultdict(list)
+    for r in sorted(nbest.encode(docs(spark, *rows)).collect(), key=lambda r: r["rank"]):
+        want[r["doc_id"]].append((zlib.crc32(np.array(r["ids"], "<u4").tobytes()), r["score"]))
+    for r in nbest.digests(docs(spark, *rows)).collect():
+        assert [r["ids_crc32"], *r["others_crc32"]] == [c for c, _ in want[r["doc_id"]]] and r["round_trip"]
+        assert [r["score"], *(r["score"] - x for x in r["losses"])] == pytest.approx([s for _, s in want[r["doc_id"]]])
+    assert {len(want[i]) for i in (3, 4, 5)} == {nbest.N}
+    text = model.normalize("on the hut")
+    words = model.pattern.findall(text)
+    best = [model.best(w) for w in words]
+    assert nbest.digest(model, text, words, best, 4)[-1]
+    joint = model.joint(words, best, 4)
+    monkeypatch.setattr(model, "joint", lambda *a: [*joint[:-1], (joint[-1][0], ((0, best[-1][1]),))])
+    assert not nbest.digest(model, text, words, best, 4)[-1]
+
+
 # --- perplexity ------------------------------------------------------------------------------------------------------
 
 
