@@ -4,6 +4,8 @@ Pages become WARC/1.0 resource records; records of one archive file stand in the
 follow from their lengths. A leaf hashes a record's offset, length and digest; a node hashes its at most 16 children in
 order; above the files' trees the same goes on to one root. An audit compares roots and descends, level by level, only
 into branches whose hashes differ, so what it reads of the lower levels depends on the damage and not on the archive.
+Leaves of a stored replica are hashed from its bytes, by the ranges of the archive's index; archive files are rows of a
+table (file, content) in the shared folder.
 
 Defined results: a null url or html counts as empty; a null id goes to a file of its own, first; records that repeat an id
 stand in the order of their digests; a record that only one replica has is missing or extra in the other (what follows it in
@@ -12,6 +14,7 @@ its file has moved, so it is damaged too); an empty table gives an empty archive
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import pyarrow as pa
@@ -158,21 +161,67 @@ def audit(one: DataFrame, other: DataFrame) -> DataFrame:
     return both.select("file", F.col("node").alias("n"), status.alias("status"))
 
 
-def rotten(pages: DataFrame) -> DataFrame:
-    """A replica in which one letter of every 97th page has changed: what the query's audit has to find."""
-    n = F.char_length("html")
-    at = F.pmod(F.col("page_id"), n) + 1
-    flipped = F.when(F.substring("html", at.cast("int"), F.lit(1)) == "~", F.lit("!")).otherwise(F.lit("~"))
-    return pages.withColumn("html", F.when((F.pmod("page_id", F.lit(97)) == 5) & (n > 0), F.overlay("html", flipped, at.cast("int"), F.lit(1))).otherwise(F.col("html")))
+def stored(files: DataFrame, index: DataFrame) -> DataFrame:
+    """file, n, offset, length, record_sha256 of a replica (file, content), hashed from its bytes by the ranges of an index (see records()).
+
+    Headers are not looked at, so no damage is an error: what ends early has another length, and a range beyond the end
+    has no record. Bytes after the last range, or in a file without any, count as one record more.
+    """
+    ranges = index.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("n", "offset", "length"))).alias("ranges"))
+    names = ["file", "n", "offset", "length", "record_sha256"]
+
+    def run(batches):
+        for batch in batches:
+            for file, content, found in zip(*batch.columns, strict=True):
+                data = memoryview(content.as_buffer() or b"")
+                cuts = [(r["n"], r["offset"], r["length"]) for r in found.as_py() or ()]
+                n, at = (cuts[-1][0] + 1, cuts[-1][1] + cuts[-1][2]) if cuts else (0, 0)
+                parts = [(k, o, data[o : o + size]) for k, o, size in [*cuts, (n, at, len(data))] if o < len(data)]
+                rows = [(file.as_py(), k, o, len(x), hashlib.sha256(x).hexdigest()) for k, o, x in parts]
+                kinds = [pa.int64()] * 4 + [pa.string()]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    both = files.join(ranges, "file", "left").select("file", "content", "ranges")
+    return both.mapInArrow(run, "file long, n long, offset long, length long, record_sha256 string")
+
+
+def rotten(files: DataFrame, index: DataFrame) -> DataFrame:
+    """A replica (file, content) in which one byte of every 97th page's body is flipped where it lies: what the query's audit has to find."""
+    bad = index.where(F.pmod("page_id", F.lit(97)) == 5).groupBy("file").agg(F.collect_list(F.struct("page_id", "offset", "length")).alias("bad"))
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for content, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                data = bytearray(content)
+                for r in found or ():
+                    at = content.index(b"\r\n\r\n", r["offset"]) + 4
+                    size = r["offset"] + r["length"] - 4 - at
+                    if size > 0:
+                        data[at + r["page_id"] % size] ^= 1
+                out.append(bytes(data))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["file", "content"])
+
+    return files.join(bad, "file", "left").select("file", "content", "bad").mapInArrow(run, "file long, content binary")
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every record of the pages' archive, and whether the audit of a replica with damaged pages finds it damaged."""
+    """Every record of the pages' archive, and whether the audit of two stored replicas, read back byte by byte, finds the second one's damaged."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
-    one = materialize(records(pages).drop("record"), "records")
-    other = materialize(records(rotten(pages)).drop("record"), "records")
+    index = materialize(records(pages).drop("record"), "records")
+    first = materialize(archive(records(pages)), "warc")
+    # Files of up to FILE_RECORDS pages are single values: Arrow gets few at a time.
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "4")
+    try:
+        second = materialize(rotten(first, index), "warc")
+        one, other = (materialize(stored(files, index), "stored") for files in (first, second))
+    finally:
+        spark.conf.set(key, before)
     found = audit(one, other).select("file", "n", F.lit(True).alias("damaged"))
-    return one.join(found, ["file", "n"], "left").select("page_id", "file", "n", F.col("offset").alias("record_offset"), "length", "record_sha256", F.coalesce("damaged", F.lit(False)).alias("damaged"))
+    return index.join(found, ["file", "n"], "left").select("page_id", "file", "n", F.col("offset").alias("record_offset"), "length", "record_sha256", F.coalesce("damaged", F.lit(False)).alias("damaged"))
 
 
 OP9_SQL = f"""

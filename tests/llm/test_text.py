@@ -360,6 +360,31 @@ def test_audit_finds_the_damage_and_nothing_else(spark):
     assert {(r["file"], r["n"], r["status"]) for r in warc.audit(fewer, one).collect()} == {(2, 25, "extra")}
 
 
+def test_audit_of_stored_bytes(spark):
+    found = warc.records(pages(spark), 32).cache()
+    whole = {r["file"]: bytes(r["content"]) for r in warc.archive(found).collect()}
+    at = {(r["file"], r["n"]): (r["offset"], r["length"]) for r in found.collect()}
+    stored = lambda files: warc.stored(spark.createDataFrame([(k, bytearray(v)) for k, v in files.items()], "file long, content binary"), found)
+    one = stored(whole).cache()
+    index = {(r["file"], r["n"]): (r["offset"], r["length"], r["record_sha256"]) for r in found.collect()}
+    assert {(r["file"], r["n"]): (r["offset"], r["length"], r["record_sha256"]) for r in one.collect()} == index
+
+    def bad(files):
+        return {(r["file"], r["n"], r["status"]) for r in warc.audit(one, stored(files)).collect()}
+
+    assert bad(whole) == set()
+    flipped = {k: bytearray(v) for k, v in whole.items()}
+    flipped[0][at[0, 0][0]] ^= 1  # the word WARC
+    flipped[0][flipped[0].index(b"Content-Length: ", at[0, 7][0]) + 16] ^= 1
+    flipped[2][sum(at[2, 5]) - 1] ^= 1  # the separator
+    assert bad(flipped) == {(0, 0, "changed"), (0, 7, "changed"), (2, 5, "changed")}
+    cut = whole | {1: whole[1][: at[1, 30][0] + 3], 2: whole[2] + b"more"}
+    assert bad(cut) == {(1, 30, "changed"), (1, 31, "missing"), (2, 26, "extra")}
+    assert bad({k: v for k, v in whole.items() if k != 2}) == {(2, i, "missing") for i in range(26)}
+    rotten = warc.rotten(warc.archive(found), found)
+    assert {(r["file"], r["n"]) for r in warc.audit(one, warc.stored(rotten, found)).collect()} == {(0, 5)}
+
+
 def test_empty_archive(spark):
     none = warc.records(pages(spark).limit(0))
     assert warc.audit(none, none).count() == 0 and warc.archive(none).count() == 0
