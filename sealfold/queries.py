@@ -121,6 +121,14 @@ def kmeans_cost(spark, sf_dir):
     return rows(spark, "cost double", (round(_first_three(spark, sf_dir).cost(table(spark, sf_dir, "embeddings"), "embedding"), 4),))
 
 
+@query(f"WITH {_ASSIGNED} SELECT CAST(i AS INTEGER) AS cluster, CAST(k AS INTEGER) AS pos, count(*) AS n, round(sum(embedding[k + 1]::DOUBLE), 4) AS total FROM a, range(64) t(k) GROUP BY ALL")
+def kmeans_partials_whole(spark, sf_dir):
+    """Partial sums of whole vectors."""
+    own = _first_three(spark, sf_dir).transform(table(spark, sf_dir, "embeddings"), "embedding", "cluster")
+    sums = own.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.round(F.sum(F.get("embedding", F.lit(k)).cast("double")), 4) for k in range(64)]).alias("totals"))
+    return sums.select("cluster", "n", F.posexplode("totals").alias("pos", "total"))
+
+
 def _plane(spark, sf_dir) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     return e.select("vec_id", F.array(*[F.get("embedding", F.lit(k)).cast("double") for k in range(2)]).alias("features"))
@@ -276,6 +284,15 @@ def pca_covariance(spark, sf_dir):
     return rows(spark, "i int, j int, covariance double", *[(i, j, round(float(c[i, j]), 8) + 0.0) for i in range(4) for j in range(4)])
 
 
+@query("""SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(covar_samp(embedding[i + 1]::DOUBLE, embedding[j + 1]::DOUBLE), 8) + 0.0 AS covariance
+FROM embeddings, range(64) a(i), range(64) b(j) GROUP BY ALL""")
+def pca_covariance_whole(spark, sf_dir):
+    """The covariance of whole vectors."""
+    n, x, _, xx, _ = linear.moments(session(spark), _coordinates(spark, sf_dir, 64).select("features"), 64, label=False)
+    c = pca.covariance(n, x, xx)
+    return rows(spark, "i int, j int, covariance double", *[(i, j, round(float(c[i, j]), 8) + 0.0) for i in range(64) for j in range(64)])
+
+
 @query("""WITH s AS (SELECT var_samp(embedding[1]::DOUBLE) AS a, var_samp(embedding[2]::DOUBLE) AS d, covar_samp(embedding[1]::DOUBLE, embedding[2]::DOUBLE) AS b FROM embeddings),
 e AS (SELECT (a + d) / 2 AS m, sqrt((a - d) * (a - d) / 4 + b * b) AS r FROM s) SELECT CAST(k AS INTEGER) AS component, round((m + (1 - 2 * k) * r) / (2 * m), 8) AS explained FROM e, range(2) t(k)""")
 def pca_explained_2d(spark, sf_dir):
@@ -290,6 +307,23 @@ def pca_project(spark, sf_dir):
     return out.select("vec_id", *[F.round(F.get("projection", F.lit(k)) + 0.0, 9).alias(f"p{k}") for k in range(2)])
 
 
+@query()
+def pca_explained_whole(spark, sf_dir):
+    """Explained variance of all components of whole vectors; SQL has no eigenvectors."""
+    m = pca.PCA(session(spark), 64).train(dataset(_coordinates(spark, sf_dir, 64)))
+    return rows(spark, "component int, explained double", *[(i, float(v)) for i, v in enumerate(m.explained_variance)])
+
+
+@query()
+def kmeans_lloyd2_whole(spark, sf_dir):
+    """Two of Lloyd's steps over whole vectors."""
+    s, points = session(spark), _coordinates(spark, sf_dir, 64)
+    c = np.array([r["features"] for r in points.where("vec_id < 3").orderBy("vec_id").collect()])
+    for _ in range(2):
+        c, _ = kmeans.lloyd_step(s, points.select("features"), c)
+    return rows(spark, "cluster int, centroid array<double>", *[(i, x.tolist()) for i, x in enumerate(c)])
+
+
 # --- trainers of Spark ML ---------------------------------------------------------------------------------------------
 
 
