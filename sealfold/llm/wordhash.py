@@ -21,11 +21,13 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, up to n of each."""
-    if len(_powers[0]) < n:
-        for i, b in enumerate((_BASE, pow(_BASE, -1, 2**64))):
-            _powers[i] = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, b, np.uint64))])
-    return _powers[0], _powers[1]
+    """Powers of the base and of its inverse, up to n of each. Those of very long texts aren't kept."""
+    if len(_powers[0]) >= n:
+        return _powers[0], _powers[1]
+    made = [np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, b, np.uint64))]) for b in (_BASE, pow(_BASE, -1, 2**64))]
+    if n <= 2 * CHUNK:
+        _powers[:] = made
+    return made[0], made[1]
 
 
 def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -36,7 +38,7 @@ def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
 
 
 def spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray | None = None) -> np.ndarray:
-    """The hash of each span of bytes; ``fold`` maps bytes first."""
+    """The hash of each span of bytes (or code points); ``fold`` maps bytes first."""
     n = len(data)
     power, inverse = _power(n + 1)
     total = np.zeros(n + 1, np.uint64)

@@ -129,43 +129,62 @@ def model():
 
 
 def every_segmentation(model, word):
-    edges, out = model.edges(word), []
+    """All segmentations of a short word by brute force over the model's scores, best first; ties by ids from the end."""
+    out = []
 
     def back(at, ids, score):
         if at == 0:
             out.append((-score, tuple(ids)))
-        for s, new, x in edges[at] if at else ():
-            back(s, ids + list(new[::-1]), score + x)
+        for start in range(max(0, at - model.longest), at):
+            if found := model.scores.get(word[start:at]):
+                back(start, [*ids, found[0]], score + found[1])
+            elif start == at - 1:
+                back(start, [*ids, *(model.bytes[b] for b in reversed(word[start:at].encode()))], score + model.penalty)
 
     back(len(word), [], 0.0)
-    return sorted(out)
+    return [(-s, ids[::-1]) for s, ids in sorted(out)]
 
 
 @settings(max_examples=120, deadline=None)
 @given(st.text(alphabet="▁thean𝄞é,", min_size=1, max_size=7), st.integers(1, 6))
-def test_best_segmentations_of_a_word(model, word, n):
-    want = every_segmentation(model, word)[:n]
-    assert model.search(word, n) == [(-s, ids[::-1]) for s, ids in want]
-    assert [s for s, _ in model.word(word, n)] == [-s for s, _ in want]
+def test_best_segmentations_of_a_unit(model, word, n):
+    assert model.search(word, n) == every_segmentation(model, word)[:n]
 
 
-def test_many_words_at_once(model):
-    rng = random.Random(4)
-    words = ["".join(rng.choice("▁thean𝄞é,") for _ in range(rng.randint(1, 9))) for _ in range(400)] + ["▁" + "x" * 100]
-    fresh = nbest.Lattice(tokenizer_path("piece_bpe_32k.model"))
-    for w, got in zip(words, fresh.all_best([words])[0], strict=True):
-        want = every_segmentation(model, w)[:2] if len(w) < 10 else None
-        assert got == model.best(w)
-        if want and not model.cuts(w):
-            assert got == (-want[0][0], want[0][1][::-1], want[1][0] - want[0][0] if len(want) > 1 else np.inf)
+def test_long_units_are_searched_alike(model, monkeypatch):
+    rng = random.Random(3)
+    monkeypatch.setattr(nbest, "SHORT", 0)
+    for _ in range(150):
+        word = "".join(rng.choice("▁thean𝄞é,aa") for _ in range(rng.randint(1, 8)))
+        assert model.search(word, 5) == every_segmentation(model, word)[:5]
 
 
-def test_best_segmentations_of_a_text(model):
-    text = "on the hut"
-    whole = every_segmentation(model, model.normalize(text))[:5]
-    got = model.segmentations(text, 5)
-    assert [s for s, _ in got] == [-s for s, _ in whole]
-    assert all(model.decode(ids) == model.normalize(text) for _, ids in got) and len({tuple(i) for _, i in got}) == 5
+@pytest.mark.parametrize("n", [1, 2, 4])
+def test_many_texts_at_once(n):
+    """Texts, repeated and empty ones too, against brute force over whole texts: scores, order and distinct segmentations."""
+    model = nbest.Lattice(tokenizer_path("piece_bpe_32k.model"))
+    rng = random.Random(4)
+    found = ["".join(rng.choice("the an𝄞é,") for _ in range(rng.randint(0, 8))) for _ in range(120)] + [""]
+    normal = [model.normalize(t) for t in found + found[:5]]
+    for text, got in zip(normal, model.nbest(normal, n), strict=True):
+        want = every_segmentation(model, text)
+        assert [s for s, _ in got] == [s for s, _ in want[:n]]
+        assert len({tuple(i) for _, i in got}) == len(got) and all((s, tuple(i)) in want and model.decode(i) == text for s, i in got)
+
+
+def test_very_long_runs(model):
+    """A million letters without a gap, of one letter, of random letters and of letters no piece covers: whole, exact, within linear memory."""
+    rng = random.Random(5)
+    runs = ["a" * 1_000_000, "".join(rng.choice("abcdefgh") for _ in range(200_000)), "𝄞" * 100_000, "ab" * 50_000 + "," + "x" * 50_000]
+    for run in runs:
+        found = model.segmentations(run, 4)
+        assert [s for s, _ in found] == sorted((s for s, _ in found), reverse=True) and len({tuple(i) for _, i in found}) == len(found)
+        assert all(model.decode(ids) == model.normalize(run) for _, ids in found)
+    run = model.normalize("a" * 300 + "banana" * 50)
+    best = [0.0]
+    for end in range(1, len(run) + 1):
+        best.append(max(best[at] + model.scores[run[at:end]][1] for at in range(max(0, end - model.longest), end) if run[at:end] in model.scores))
+    assert model.nbest([run], 1)[0][0][0] == best[-1]
 
 
 def test_encode_operator(spark, model):
@@ -179,24 +198,25 @@ def test_encode_operator(spark, model):
         assert len(got[i]) == 3 and {r["text"] for r in got[i]} == {model.normalize(t)}
         scores = [r["score"] for r in sorted(got[i], key=lambda r: r["rank"])]
         assert scores == sorted(scores, reverse=True)
+    assert not nbest.encode(docs(spark, *rows).limit(0)).count() and not nbest.digests(docs(spark, *rows).limit(0)).count()
 
 
 def test_digests_are_of_all_segmentations(spark, model, monkeypatch):
     rows = [(1, None), (2, ""), (3, "ab  é𝄞\n<s>"), (4, "q" * 300), (5, "on the hut, then")]
     want = defaultdict(list)
     for r in sorted(nbest.encode(docs(spark, *rows)).collect(), key=lambda r: r["rank"]):
-        want[r["doc_id"]].append((zlib.crc32(np.array(r["ids"], "<u4").tobytes()), r["score"]))
+        want[r["doc_id"]].append((zlib.crc32(np.array(r["ids"], "<u4").tobytes()), r["score"], len(r["ids"])))
     for r in nbest.digests(docs(spark, *rows)).collect():
-        assert [r["ids_crc32"], *r["others_crc32"]] == [c for c, _ in want[r["doc_id"]]] and r["round_trip"]
-        assert [r["score"], *(r["score"] - x for x in r["losses"])] == pytest.approx([s for _, s in want[r["doc_id"]]])
+        assert [r["ids_crc32"], *r["others_crc32"]] == [c for c, _, _ in want[r["doc_id"]]] and r["round_trip"]
+        assert [r["score"], *(r["score"] - x for x in r["losses"])] == pytest.approx([s for _, s, _ in want[r["doc_id"]]])
+        assert [r["n_pieces"], *r["others_pieces"]] == [k for _, _, k in want[r["doc_id"]]]
     assert {len(want[i]) for i in (3, 4, 5)} == {nbest.N}
-    text = model.normalize("on the hut")
-    words = model.pattern.findall(text)
-    best = [model.best(w) for w in words]
-    assert nbest.digest(model, text, words, best, 4)[-1]
-    joint = model.joint(words, best, 4)
-    monkeypatch.setattr(model, "joint", lambda *a: [*joint[:-1], (joint[-1][0], ((0, best[-1][1]),))])
-    assert not nbest.digest(model, text, words, best, 4)[-1]
+    # A wrong alternative of the last rank is seen.
+    joint = model.joint
+    monkeypatch.setattr(model, "joint", lambda *a: [*(found := joint(*a))[:-1], (found[-1][0], ((0, (model.scores["x"][0],)),))])
+    normal = [model.normalize("on the hut")]
+    decoded = model.decode_all([ids for _, ids in model.nbest(normal, 4)[0]])
+    assert [x == normal[0].encode() for x in decoded] == [True, True, True, False]
 
 
 # --- perplexity ------------------------------------------------------------------------------------------------------
