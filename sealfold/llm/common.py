@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: The ASCII white space that separates words.
 SPACE = " \t\n\x0b\f\r"
@@ -34,16 +39,41 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Rows an Arrow batch may hold. Texts are long, and both the JVM and Python hold whole batches.
-BATCH_ROWS = 1000
+#: Rows and bytes an Arrow batch may hold. Texts are long, and both the JVM and Python hold whole batches.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of texts small; a session that asks for still smaller ones keeps them."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Keep Arrow batches of texts small; a session that asks for still smaller ones keeps them.
+
+    Spark reads these settings when a plan runs, not when it is made, so they stay set in the caller's session.
+    """
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows, "10000")) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    spark.conf.set(size, str(BATCH_BYTES))
+
+
+def give_back() -> None:
+    """Return memory that this Python process has freed to the machine: workers live on, and wait with what a task once needed."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def in_arrow(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """mapInArrow, after which the worker gives back the memory that the task has freed."""
+
+    @functools.wraps(run)
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return rows.mapInArrow(tidy, schema)
 
 
 def drop_garbage(spark: SparkSession) -> None:
@@ -61,6 +91,25 @@ def packed(df: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in df.columns])
 
 
+def with_rows(df: DataFrame) -> DataFrame:
+    """One column ``row`` with all columns of df, text as a string: a text goes to Python once, inside its row."""
+    return df.withColumn("text", F.col("text").cast("string")).select(packed(df).alias("row"))
+
+
+def row_texts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[tuple[pa.StructArray, list[str]]]:
+    """Slices of with_rows() and their texts (null: empty), a few rows at a time to bound Python's memory."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            part = batch.column(0).slice(at, rows)
+            yield part, [x or "" for x in part.field("text").to_pylist()]
+
+
+def replaced(part: pa.StructArray, **new: pa.Array) -> pa.StructArray:
+    """Rows with other values in some of their fields."""
+    kinds = [part.type.field(i) for i in range(part.type.num_fields)]
+    return pa.StructArray.from_arrays([new.get(k.name, part.field(i)) for i, k in enumerate(kinds)], fields=kinds)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. Where all is ASCII, lower() does just that and is faster than translate()."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

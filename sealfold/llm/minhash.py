@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sealfold.llm import wordhash
-from sealfold.llm.common import bloom, bloom_bits, bounded_batches, documents, drop_garbage, materialize, packed, with_maybe
+from sealfold.llm.common import bloom, bloom_bits, bounded_batches, documents, drop_garbage, in_arrow, materialize, packed, with_maybe
 from sealfold.llm.components import components
 from sealfold.llm.token_counts import texts
 
@@ -80,7 +80,7 @@ def sketch(docs: DataFrame, size: int) -> DataFrame:
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, sig binary, bands array<long>")
+    return in_arrow(rows, run, "doc_id long, n long, s1 long, s2 long, sig binary, bands array<long>")
 
 
 def _agreeing(pairs: DataFrame, sketches: DataFrame, share: float) -> DataFrame:
@@ -97,7 +97,7 @@ def _agreeing(pairs: DataFrame, sketches: DataFrame, share: float) -> DataFrame:
                 a, b = (batch.column(batch.schema.get_field_index(c)) for c in "ab")
                 yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep), pa.array(est).filter(keep)], ["a", "b", "est"])
 
-    return both.mapInArrow(run, "a long, b long, est double")
+    return in_arrow(both, run, "a long, b long, est double")
 
 
 def confirmed(pairs: DataFrame, held: DataFrame, size: int, percent: int) -> DataFrame:
@@ -120,7 +120,7 @@ def confirmed(pairs: DataFrame, held: DataFrame, size: int, percent: int) -> Dat
                     keep.append(100 * shared >= percent * (len(sets[x]) + len(sets[y]) - shared))
                 yield pa.RecordBatch.from_arrays([a.filter(pa.array(keep)), b.filter(pa.array(keep))], ["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long")
+    return in_arrow(both, run, "a long, b long")
 
 
 def _labelled(frame: DataFrame, labels: DataFrame, column: str, to: str) -> DataFrame:
@@ -172,7 +172,7 @@ def _sharing_rare(rows: DataFrame, size: int, percent: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), hashes.view(np.int64))
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)).slice(first, len(chunk)) for c in ("doc_id", "outside", "c")), lists], ["doc_id", "outside", "c", "hashes"])
 
-    sets = rows.select("doc_id", "outside", "c", "text").mapInArrow(run, "doc_id long, outside boolean, c long, hashes array<long>")
+    sets = in_arrow(rows.select("doc_id", "outside", "c", "text"), run, "doc_id long, outside boolean, c long, hashes array<long>")
     each = materialize(sets.select("doc_id", "outside", "c", F.size("hashes").alias("n"), F.explode("hashes").alias("h")), "shingles")
     often = each.groupBy("h").agg(F.count(F.lit(1)).alias("often"))
     ranked = each.join(often, "h").groupBy("doc_id", "outside", "c", "n").agg(F.sort_array(F.collect_list(F.struct("often", "h"))).alias("order"))  # a text's shingles

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sealfold.llm import wordhash
-from sealfold.llm.common import documents
+from sealfold.llm.common import documents, in_arrow
 from sealfold.llm.token_counts import texts, tokenizer_path
 
 MARK = "▁"
@@ -452,7 +452,7 @@ def encode(docs: DataFrame, n: int = N, path: str | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, rank int, score double, ids array<int>, text string")
+    return in_arrow(rows, run, "doc_id long, rank int, score double, ids array<int>, text string")
 
 
 def digests(docs: DataFrame, n: int = N, path: str | None = None) -> DataFrame:
@@ -471,7 +471,7 @@ def digests(docs: DataFrame, n: int = N, path: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in schema])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, ", ".join(schema))
+    return in_arrow(rows, run, ", ".join(schema))
 
 
 def op4_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,14 +26,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sealfold.llm import wordhash
-from sealfold.llm.common import documents, materialize
+from sealfold.llm.common import documents, in_arrow, materialize
 from sealfold.llm.token_counts import texts, tokenizer_path
 
 CAPACITY, END = 2048, 0
 #: Rows of one length that are ranked in one task.
 RANKED_ROWS = 200_000
-#: Words whose ids a worker keeps; beyond that it starts over. A bound on memory only.
-KEPT_WORDS = 3_000_000
+#: Words, and ids of words, that a worker keeps; beyond that it starts over. Bounds on memory only.
+KEPT_WORDS, KEPT_IDS = 250_000, 2_000_000
 _WORDS = r"'s|'t|'re|'ve|'m|'ll|'d"
 ASCII_WORDS = re.compile(rf"{_WORDS}|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 LATIN_WORDS = regex.compile(rf"{_WORDS}|[\p{{L}}]+|[\p{{N}}]|[^\p{{White_Space}}\p{{L}}\p{{N}}]+")
@@ -117,7 +117,7 @@ class Encoder:
         distinct, first, which = np.unique(wordhash.spans(data, starts, ends), return_index=True, return_inverse=True)
         place, known = self._known(distinct)
         if not known.all():
-            if len(self.hashes) > KEPT_WORDS:
+            if len(self.hashes) > KEPT_WORDS or self.used > KEPT_IDS:
                 self._forget()
                 known[:] = False
             new, raw = np.flatnonzero(~known), data.tobytes()
@@ -184,7 +184,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, e
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)][: len(names)], names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+    return in_arrow(rows, run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
@@ -256,7 +256,7 @@ def place(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, pa.array(row[:, 2] + nth // row[:, 3]), pa.array(row[:, 4] + nth % row[:, 3] * length)], [*names, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in found.dtypes if c in names)
-    return ranked.mapInArrow(run, f"{schema}, sequence_id long, offset long")
+    return in_arrow(ranked, run, f"{schema}, sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, end: int = END) -> DataFrame:

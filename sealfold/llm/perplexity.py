@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sealfold.llm.common import documents, materialize
+from sealfold.llm.common import documents, in_arrow, materialize
 from sealfold.llm.token_counts import texts
 
 ORDER = 4
@@ -75,7 +75,7 @@ def blobs(docs: DataFrame, blocks: int) -> DataFrame:
             yield row(block)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "block int, blob binary")
+    return in_arrow(rows, run, "block int, blob binary")
 
 
 def _unpacked(blob: bytes) -> list[tuple[int | None, str | None, bytes]]:
@@ -142,7 +142,7 @@ def counted(docs: DataFrame, trusted: DataFrame, blocks: int) -> DataFrame:
             yield from flush()
 
     own = trusted.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), "doc_id")
-    return _by_block(own, blobs(docs, blocks)).select("block", "kind", "doc_id", "blob").mapInArrow(run, "block int, lang string, gram long, c long")
+    return in_arrow(_by_block(own, blobs(docs, blocks)).select("block", "kind", "doc_id", "blob"), run, "block int, lang string, gram long, c long")
 
 
 def probabilities(counts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -213,7 +213,7 @@ def scored(docs: DataFrame, own: DataFrame, blocks: int) -> DataFrame:
     import pyarrow.compute  # noqa: F401
 
     rows = _by_block(own, blobs(docs, blocks)).select("block", "kind", "lang", "gram", "p", "blob")
-    return rows.mapInArrow(run, "doc_id long, lang string, n_bytes long, perplexity double")
+    return in_arrow(rows, run, "doc_id long, lang string, n_bytes long, perplexity double")
 
 
 def held_out(doc_id):

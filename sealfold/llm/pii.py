@@ -19,9 +19,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 from sealfold.llm import wordhash
-from sealfold.llm.common import documents, packed
+from sealfold.llm.common import documents, in_arrow, replaced, row_texts, with_rows
 from sealfold.llm.token_counts import texts
 
 KINDS = ("email", "ip", "card", "phone")
@@ -233,44 +234,42 @@ def redacted(text: str, found: list[tuple[int, int, int]]) -> str:
 # --- DataFrame operators ---------------------------------------------------------------------------------------------
 
 
-def _map(docs: DataFrame, one, fields: list[tuple[str, pa.DataType, str]]) -> DataFrame:
-    """docs' columns in ``row`` and, for each text, the fields that one(text) gives."""
-    rows = docs.select(F.col("text").cast("string").alias("text"), packed(docs).alias("row"))
-
-    def run(batches):
-        for part, found in texts(batches):
-            got = [one(t, h) for t, h in zip(found, may_be_disguised(found), strict=True)]
-            columns = [pa.array([x[i] for x in got], kind) for i, (_, kind, _) in enumerate(fields)]
-            yield pa.RecordBatch.from_arrays([part.column(1), *columns], ["row", *(n for n, _, _ in fields)])
-
-    return rows.mapInArrow(run, "row " + rows.schema["row"].dataType.simpleString() + "".join(f", {n} {t}" for n, _, t in fields))
-
-
 _SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("disguised", pa.bool_())]))
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
     """row (all columns of docs) and pii, an array of (kind, start, end, disguised)."""
 
-    def one(text, hint):
-        base, added = spans(text, hint)
-        return ([{"kind": KINDS[k], "start": s, "end": e, "disguised": d} for d, found in ((False, base), (True, added)) for s, k, e in found],)
+    rows = with_rows(docs)
 
-    return _map(docs, one, [("pii", _SPAN, "array<struct<kind:string,start:int,end:int,disguised:boolean>>")])
+    def run(batches):
+        for part, found in row_texts(batches):
+            got = [spans(t, h) for t, h in zip(found, may_be_disguised(found), strict=True)]
+            out = [[{"kind": KINDS[k], "start": s, "end": e, "disguised": d} for d, own in ((False, base), (True, added)) for s, k, e in own] for base, added in got]
+            yield pa.RecordBatch.from_arrays([part, pa.array(out, _SPAN)], ["row", "pii"])
+
+    kind = ArrayType(StructType([StructField("kind", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("disguised", BooleanType())]))
+    return in_arrow(rows, run, StructType([*rows.schema, StructField("pii", kind)]))
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with personal data replaced in text, and n_chars, if there, counted again. Null texts stay null."""
 
-    def one(text, hint):
-        base, added = spans(text, hint)
-        new = redacted(text, base + added) if base or added else text
-        return new, len(new)
+    counted = {"n_chars": "long"} if "n_chars" in docs.columns else {}
+    rows = with_rows(docs.withColumns({c: F.col(c).cast(t) for c, t in counted.items()}))
+
+    def run(batches):
+        for part, found in row_texts(batches):
+            missing = part.field("text").is_null().to_pylist()
+            out: list[str | None] = []
+            for t, h, m in zip(found, may_be_disguised(found), missing, strict=True):
+                base, added = spans(t, h)
+                out.append(None if m else redacted(t, base + added) if base or added else t)
+            new = {"text": pa.array(out, part.type.field("text").type)} | {c: pa.array([None if t is None else len(t) for t in out], pa.int64()) for c in counted}
+            yield pa.RecordBatch.from_arrays([replaced(part, **new)], ["row"])
 
-    out = _map(docs, one, [("text", pa.string(), "string"), ("n_chars", pa.int64(), "long")])
     kind = dict(docs.dtypes)
-    new = {"text": F.when(F.col("row.text").isNotNull(), F.col("text")), "n_chars": F.when(F.col("row.text").isNotNull(), F.col("n_chars"))}
-    return out.select(*[(new[c].cast(kind[c]) if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    return in_arrow(rows, run, rows.schema).select(*[F.col(f"row.`{c}`").cast(kind[c]).alias(c) if c in ("text", "n_chars") else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -287,4 +286,4 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, [n.split()[0] for n in schema])
 
     schema = ["doc_id long", *(f"n_{k} long" for k in KINDS), "base_sha256 string", "spans string", "n_disguised long"]
-    return docs.mapInArrow(run, ", ".join(schema))
+    return in_arrow(docs, run, ", ".join(schema))

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sealfold.llm.common import documents
+from sealfold.llm.common import documents, in_arrow
 
 LIMIT = 512
 #: Pieces whose counts a worker keeps; beyond that it starts over. A bound on memory only.
@@ -215,7 +215,7 @@ def count_tokens(docs: DataFrame, limit: int = LIMIT, path: str | None = None) -
             yield pa.RecordBatch.from_arrays([part.column(0), size, n, over, fit], ["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
+    return in_arrow(rows, run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
 
 
 def prefix_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -229,7 +229,7 @@ def prefix_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column(0), counts], ["doc_id", "counts"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, counts array<int>")
+    return in_arrow(rows, run, "doc_id long, counts array<int>")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

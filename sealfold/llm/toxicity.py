@@ -20,9 +20,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from sealfold.llm import wordhash
-from sealfold.llm.common import bounded_batches, documents, materialize, packed
+from sealfold.llm.common import bounded_batches, documents, in_arrow, materialize, row_texts, with_rows
 from sealfold.llm.token_counts import texts
 
 BUCKETS, DIM, WIDTHS, FILTERS = 2**17, 8, (1, 2, 3), 16
@@ -188,23 +189,23 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
     # The sample is bounded, so one task can learn from it; the driver gets the model alone.
-    made = rows.mapInArrow(run, "doc_id long, toxic int, words binary").repartition(1).mapInArrow(learn, "model binary").collect()
+    made = in_arrow(in_arrow(rows, run, "doc_id long, toxic int, words binary").repartition(1), learn, "model binary").collect()
     return pickle.loads(made[0]["model"]) if made else None
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """row (all columns of docs) and score."""
-    rows = docs.select(F.col("text").cast("string").alias("text"), packed(docs).alias("row"))
+    rows = with_rows(docs)
     if model is None:
         return rows.select("row", F.lit(0.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: BUCKETS * DIM floats
 
     def run(batches):
-        for part, found in texts(batches):
+        for part, found in row_texts(batches):
             got = [shared.value.scores(chunk) for _, chunk in wordhash.chunks([t.encode() for t in found], SCORED_BYTES)]
-            yield pa.RecordBatch.from_arrays([part.column(1), pa.array(np.concatenate(got), pa.float64())], ["row", "score"])
+            yield pa.RecordBatch.from_arrays([part, pa.array(np.concatenate(got), pa.float64())], ["row", "score"])
 
-    return rows.mapInArrow(run, "row " + rows.schema["row"].dataType.simpleString() + ", score double")
+    return in_arrow(rows, run, StructType([*rows.schema, StructField("score", DoubleType())]))
 
 
 def thresholds(scores: DataFrame, labels: DataFrame) -> dict[str | None, float]:

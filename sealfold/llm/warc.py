@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sealfold.llm.common import materialize
+from sealfold.llm.common import in_arrow, materialize
 
 FILE_RECORDS, FAN_OUT = 1024, 16
 DATE = "2024-01-01T00:00:00Z"
@@ -93,7 +93,7 @@ def read(files: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return files.select("file", "content").mapInArrow(run, "file long, offset long, length long, type string, uri string, body binary")
+    return in_arrow(files.select("file", "content"), run, "file long, offset long, length long, type string, uri string, body binary")
 
 
 # --- Merkle trees ----------------------------------------------------------------------------------------------------
@@ -183,7 +183,7 @@ def stored(files: DataFrame, index: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     both = files.join(ranges, "file", "left").select("file", "content", "ranges")
-    return both.mapInArrow(run, "file long, n long, offset long, length long, record_sha256 string")
+    return in_arrow(both, run, "file long, n long, offset long, length long, record_sha256 string")
 
 
 def rotten(files: DataFrame, index: DataFrame) -> DataFrame:
@@ -203,7 +203,7 @@ def rotten(files: DataFrame, index: DataFrame) -> DataFrame:
                 out.append(bytes(data))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["file", "content"])
 
-    return files.join(bad, "file", "left").select("file", "content", "bad").mapInArrow(run, "file long, content binary")
+    return in_arrow(files.join(bad, "file", "left").select("file", "content", "bad"), run, "file long, content binary")
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import numpy as np
 
 _BASE, _STEP, _SALT = 0x9E3779B97F4A7C55, 0xD1342543DE82EF95, 0xBF58476D1CE4E5B9
 #: Bytes handled at once; a longer text is still handled whole.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
