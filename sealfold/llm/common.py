@@ -8,6 +8,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,11 +33,21 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write a frame to the shared folder and read it back: lineage ends at files that outlive any executor."""
+def materialize(df: DataFrame, name: str = "step", by: str | None = None) -> DataFrame:
+    """Write a frame to the shared folder, in a folder for each value of ``by``, and read it back: lineage ends at files that outlive any executor."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored._stored_at = path
+    return stored
+
+
+def discard(*stored: DataFrame) -> None:
+    """Delete tables that materialize() wrote and nothing reads any more: what followed from them is stored itself."""
+    for df in stored:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 #: Rows and bytes an Arrow batch may hold. Texts are long, and both the JVM and Python hold whole batches.
@@ -116,36 +127,63 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
 
 
-#: Bits a key of a Bloom table, and bounds of the table: 2**26 bits make at most 2**20 words of 64, which may be broadcast.
-BITS_A_KEY, LEAST_BITS, MOST_BITS = 16, 2**16, 2**26
-
-
-def bloom_slots(key: Column, bits: int) -> list[Column]:
-    """The two bits of a key. The table has at most MOST_BITS; beyond some millions of keys it lets more rows pass, never fewer."""
-    return [F.xxhash64(key, F.lit(i)).bitwiseAND(F.lit(bits - 1)) for i in range(2)]
-
-
-def bloom_bits(keys: int) -> int:
-    bits = LEAST_BITS
-    while bits < min(BITS_A_KEY * keys, MOST_BITS):
-        bits *= 2
-    return bits
-
-
-def bloom(keys: DataFrame, column: str, bits: int, times: int = 1) -> DataFrame:
-    """(word, bits) of the slots that keys set at least so many times."""
-    slots = keys.select(F.explode(F.array(*bloom_slots(F.col(column), bits))).alias("slot"))
+#: Keys a word of 64 bits is meant for, and words a shard of a Bloom table may have: what is broadcast at once is bounded by these.
+WORD_KEYS, SHARD_WORDS = 4, 2**21
+#: Folders that rows are dealt to by their shards, and shards that are probed by one job.
+FOLDERS, SHARDS_A_JOB = 64, 16
+
+
+@dataclass(frozen=True)
+class Bloom:
+    """A blocked Bloom table in shards by hash: a key has one word of its shard and two bits in it. The number of shards grows with the keys."""
+
+    words: DataFrame
+    shards: int
+    size: int
+
+    def place(self, key: Column) -> tuple[Column, Column, Column, Column]:
+        """shard, word and the two bits of a key."""
+        h = F.xxhash64(key)
+        shard = F.pmod(F.xxhash64(key, F.lit(1)), F.lit(self.shards)).cast("int")
+        return shard, h.bitwiseAND(F.lit(self.size - 1)), F.shiftrightunsigned(h, 40).bitwiseAND(F.lit(63)), F.shiftrightunsigned(h, 46).bitwiseAND(F.lit(63))
+
+    def maybe(self, rows: DataFrame, column: str) -> DataFrame:
+        """rows with ``maybe``: whether both bits of the key in ``column`` are set. Each shard is broadcast on its own, so no row is shuffled.
+
+        Rows of several shards are dealt to folders first, by a write without a shuffle; each job reads its shards' folders.
+        """
+        shard, word, one, two = self.place(F.col(column))
+        mask = "shiftleft(1L, cast(__one as int)) | shiftleft(1L, cast(__two as int))"
+        placed = rows.withColumns({"__shard": shard, "__word": word, "__one": one, "__two": two})
+        extra = ["__shard", "__word", "__one", "__two", "__w", "__bits"]
+
+        def probed(part: DataFrame, words: DataFrame) -> DataFrame:
+            table = F.broadcast(words.select(F.col("word").alias("__w"), F.col("bits").alias("__bits")))
+            return part.join(table, F.col("__word") == F.col("__w"), "left").withColumn("maybe", F.expr(f"coalesce((__bits & ({mask})) = ({mask}), false)")).drop(*extra)
+
+        if self.shards == 1:
+            return probed(placed, self.words)
+        dealt = materialize(placed.withColumn("__folder", F.col("__shard") % FOLDERS), "dealt", by="__folder")
+        jobs = []
+        for first in range(0, self.shards, SHARDS_A_JOB):
+            own = range(first, min(first + SHARDS_A_JOB, self.shards))
+            parts = [probed(dealt.where((F.col("__folder") == s % FOLDERS) & (F.col("__shard") == s)).drop("__folder"), self.words.where(F.col("shard") == s)) for s in own]
+            jobs.append(materialize(functools.reduce(DataFrame.unionByName, parts), "probed"))
+        discard(dealt)
+        return rows.sparkSession.read.schema(jobs[0].schema).parquet(*[j._stored_at for j in jobs])
+
+
+def bloom(keys: DataFrame, column: str, n: int, times: int = 1) -> Bloom:
+    """The table of the keys in ``column``, n rows, or of those whose word and bits at least so many rows share. A row is one number in the shuffle."""
+    words, size = max(1, n // WORD_KEYS), 2**10
+    while size < min(words, SHARD_WORDS):
+        size *= 2
+    table = Bloom(keys, max(1, -(-words // SHARD_WORDS)), size)
+    shard, word, one, two = table.place(F.col(column))
+    slot = keys.select(F.shiftleft(shard.cast("long"), 40).bitwiseOR(F.shiftleft(word, 12)).bitwiseOR(F.shiftleft(one, 6)).bitwiseOR(two).alias("slot"))
     if times > 1:
-        slots = slots.groupBy("slot").count().where(F.col("count") >= times)
-    return slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
-
-
-def with_maybe(rows: DataFrame, column: str, words: DataFrame, bits: int) -> DataFrame:
-    """rows with ``maybe``: whether all bits of the key in ``column`` are set. Probes are broadcast joins, so no row is shuffled."""
-    out = rows
-    hit = F.lit(True)
-    for i, slot in enumerate(bloom_slots(F.col(column), bits)):
-        table = F.broadcast(words.select(F.col("word").alias(f"__w{i}"), F.col("bits").alias(f"__b{i}")))
-        out = out.withColumn(f"__s{i}", slot).join(table, F.shiftright(F.col(f"__s{i}"), 6) == F.col(f"__w{i}"), "left")
-        hit = hit & (F.expr(f"coalesce(shiftrightunsigned(__b{i}, cast(__s{i} & 63 as int)) & 1, 0)") == 1)
-    return out.withColumn("maybe", hit).drop(*[f"__{c}{i}" for c in "swb" for i in range(2)])
+        slot = slot.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= times)
+    bits = F.expr("shiftleft(1L, cast((slot >> 6) & 63 as int)) | shiftleft(1L, cast(slot & 63 as int))")
+    of = slot.select(F.shiftright("slot", 40).cast("int").alias("shard"), F.shiftright("slot", 12).bitwiseAND(F.lit(2**28 - 1)).alias("word"), bits.alias("bits"))
+    found = of.groupBy("shard", "word").agg(F.bit_or("bits").alias("bits"))
+    return Bloom(materialize(found, "bloom"), table.shards, table.size)

@@ -1,19 +1,23 @@
 """Exact deduplication by two Bloom passes, in DataFrame operations only.
 
-Pass 1 hashes every normalised text and keeps, of a bit table, the slots that two or more rows set. Pass 2 probes that
-table: a row whose slots are not all repeated has a text of its own and passes straight through; only the others are
-shuffled to their group. A false positive costs a shuffle of a digest, never a wrong result.
+Pass 1 hashes every normalised text and keeps, of a table of words with two bits a row, those that two or more rows share.
+Pass 2 probes that table: a row whose bits are not repeated has a text of its own and passes straight through; only the
+others are shuffled to their group. A false positive costs a shuffle of a digest, never a wrong result. The table has
+about 16 bits a row at every size; beyond one shard's words it is probed shard by shard, each broadcast on its own.
 
 Defined results: a null text counts as empty; a null id never wins against another; in ``deduplicate`` rows that
-repeat both id and text leave one row; an empty table gives an empty table; other columns are carried, whatever their names.
+repeat both id and text leave one row; texts of any length are hashed whole; an empty table gives an empty table; other
+columns are carried, whatever their names.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sealfold.llm.common import ascii_lower, bloom, bloom_bits, documents, materialize, packed, with_maybe
+from sealfold.llm.common import ascii_lower, bloom, discard, documents, materialize, packed
 
 #: A group is hot above this share of the rows; so there are at most 1 / HOT_SHARE hot groups, and they may be broadcast.
 HOT_SHARE = 0.001
@@ -36,10 +40,11 @@ def group_rows(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: a row for each row of docs, dropped ones too."""
     base = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text")).alias("h")), "digests")
     n = base.count()
-    bits = bloom_bits(n)
-    probed = materialize(with_maybe(base, "h", bloom(base, "h", bits, times=2), bits), "probed")
+    table = bloom(base, "h", n, times=2)
+    probed = materialize(table.maybe(base, "h"), "probed")
+    discard(base, table.words)
     maybe = probed.where("maybe").drop("maybe")
-    groups = maybe.groupBy("h").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = materialize(maybe.groupBy("h").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
     repeated = _joined_to_groups(maybe, groups, n).select("doc_id", "keep_id", "group_size", "h")
     single = probed.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "h")
     return single.unionByName(repeated).select(
@@ -51,22 +56,24 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns. Texts that can't be repeated are never shuffled."""
     rows = docs.select(packed(docs).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text")).alias("h"))
     base = materialize(rows.select("doc_id", "h"), "digests")
-    n = base.count()
-    bits = bloom_bits(n)
-    words = materialize(bloom(base, "h", bits, times=2), "bloom")
-    groups = (
-        with_maybe(base, "h", words, bits).where("maybe").groupBy("h", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    table = bloom(base, "h", base.count(), times=2)
+    found = (
+        table.maybe(base, "h").where("maybe").groupBy("h", "doc_id").agg(F.count(F.lit(1)).alias("n"))
         .groupBy("h").agg(F.max(F.struct("doc_id", "n")).alias("top"), F.sum("n").alias("group_size"))
         .select("h", F.col("top.doc_id").alias("doc_id"), F.col("top.n").alias("n_top"), "group_size")
     )
-    groups = materialize(groups, "groups")
-    probed = with_maybe(rows, "h", words, bits)
+    # Rows are probed by the table of the texts that are known to be repeated, which is smaller and has no false positives of its own.
+    groups = materialize(found.where("group_size > 1"), "groups")
+    discard(base, table.words)
+    probed = bloom(groups, "h", groups.count()).maybe(rows, "h")
     single = probed.where("not maybe").select("row")
     # One row of a group stays, so rows join its winner by digest and id: no key is hot but by rows that repeat an id.
     on = (F.col("d.h") == F.col("g.h")) & F.col("d.doc_id").eqNullSafe(F.col("g.doc_id"))
-    winners = probed.where("maybe").alias("d").join(groups.alias("g"), on).select("d.row", "d.h", "g.n_top")
+    maybe = probed.where("maybe")
+    winners = maybe.alias("d").join(groups.alias("g"), on).select("d.row", "d.h", "g.n_top")
     again = winners.where("n_top > 1").dropDuplicates(["h"])
-    return single.unionByName(winners.where("n_top = 1").select("row")).unionByName(again.select("row")).select("row.*")
+    alone = maybe.join(groups.select("h"), "h", "left_anti")  # the table's false positives
+    return functools.reduce(DataFrame.unionByName, [x.select("row") for x in (single, winners.where("n_top = 1"), again, alone)]).select("row.*")
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

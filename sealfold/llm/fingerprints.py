@@ -6,7 +6,7 @@ parts merge by union, and k of them suffice to estimate resemblance, containment
 
 Defined results: a null text counts as empty; two empty sketches resemble each other with 1.0, an empty and another
 with 0.0; rows that repeat a doc_id follow each other by descending text; a null doc_id comes last; an empty table
-gives an empty table; one row is its own next row.
+gives an empty table; one row is its own next row; texts of any length are sketched whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -14,11 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sealfold.llm.common import SPACE, SPACE_PATTERN, documents
+from sealfold.llm.common import SPACE, SPACE_PATTERN, documents, materialize
 
 K, WORDS = 128, 5
-#: Rows a bucket of neighbouring ids is meant to hold, and the most buckets; their edges are literals in the plan.
-BUCKET_ROWS, MOST_BUCKETS = 1024, 4096
+#: Rows a bucket of neighbouring ids is meant to hold, and quantiles that one group of a range partition gives.
+BUCKET_ROWS, QUANTILES = 1024, 64
 
 
 def bound(value: Column, use) -> Column:
@@ -73,31 +73,50 @@ def fingerprints(docs: DataFrame, k: int = K) -> DataFrame:
     )
 
 
+def _steps(values: DataFrame, column: str) -> DataFrame:
+    """One row: the distinct values of a column, descending, as ``steps`` (lists of about the square root of their number) and ``tops`` (the first of each)."""
+    one = values.agg(F.sort_array(F.collect_set(column), False).alias("all"))
+    width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size("all"))).cast("int"))
+    one = one.select("all", width.alias("width")).where("size(all) > 0")
+    steps = F.transform(F.sequence(F.lit(0), F.floor((F.size("all") - 1) / F.col("width")).cast("int")), lambda i: F.slice("all", i * F.col("width") + 1, F.col("width")))
+    return one.select("width", F.size("all").alias("filled"), steps.alias("steps")).withColumn("tops", F.transform("steps", lambda x: x[0]))
+
+
+def _with_steps(rows: DataFrame, steps: DataFrame) -> DataFrame:
+    """Rows with the one row of _steps(), as a scalar subquery that runs once."""
+    value = steps.select(F.struct(*steps.columns)).scalar()
+    return rows.withColumn("__steps", value).withColumns({c: F.col(f"__steps.{c}") for c in steps.columns}).drop("__steps")
+
+
+def _bucket(key: Column) -> Column:
+    """How many of the values in _steps() a key is not above, less one: two searches over short lists, whatever their number."""
+    block = F.greatest(F.size(F.filter("tops", lambda t: t >= key)) - 1, F.lit(0))
+    return block * F.col("width") + F.size(F.filter(F.element_at("steps", block + 1), lambda e: e >= key)) - 1
+
+
 def with_next(docs: DataFrame, k: int = K) -> DataFrame:
     """doc_id, text, sketch and, of the next row by descending doc_id (of the first after the last), next_text and next_sketch.
 
     Ids are cut into buckets at approximate quantiles (any edges give the same result), so no window sees all rows; the
-    first row of each bucket is also sent, as a copy, to the end of the bucket before. Each text is shuffled once.
+    first row of each bucket is also sent, as a copy, to the end of the bucket before. Each text is shuffled once. The
+    edges, one number for every BUCKET_ROWS rows, are a single row that a scalar subquery reads; nothing is gathered on the driver.
     """
     least = -(2**63)
     ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(least)).alias("key"))
-    n = ids.count()
-    wanted = max(1, min(MOST_BUCKETS, n // BUCKET_ROWS))
-    marks = [i / wanted for i in range(1, wanted)]
-    found = ids.agg(F.percentile_approx("key", marks, 10 * wanted)).first()[0] if marks and n else None
-    edges = F.lit(sorted(set(found or [])) or [least]).cast("array<bigint>")
-    bucket = lambda key: F.size(F.filter(edges, lambda e: e > key))
-    heads = sorted((r["b"], r["head"]) for r in ids.groupBy(bucket(F.col("key")).alias("b")).agg(F.max("key").alias("head")).collect())
-    filled = [b for b, _ in heads] or [0]
-    head_of, to = [None] * (max(filled) + 1), [0] * (max(filled) + 1)
-    for i, (b, head) in enumerate(heads):
-        head_of[b], to[b] = head, filled[i - 1]
+    wanted = max(1, -(-ids.count() // BUCKET_ROWS))
+    ranges, marks = -(-wanted // QUANTILES), min(wanted, QUANTILES)
+    shares = F.array(*[F.lit((i + 1) / marks) for i in range(marks)])
+    parts = ids.repartitionByRange(ranges, "key").groupBy(F.spark_partition_id().alias("part")).agg(F.percentile_approx("key", shares, 20 * marks).alias("marks"))
+    rough = _steps(parts.select(F.explode("marks").alias("key")), "key")
+    # The greatest id of each bucket; buckets are cut at these, so that none is empty and each one's first row is known.
+    heads = _with_steps(ids, rough).groupBy(_bucket(F.col("key")).alias("b")).agg(F.max("key").alias("key"))
+    edges = materialize(_steps(heads, "key"), "edges")
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(least)).alias("key"))
-    rows = rows.withColumn("b", bucket(F.col("key")))
-    place = F.col("b") + 1
+    rows = _with_steps(rows, edges).withColumn("b", _bucket(F.col("key")))
+    block = F.floor(F.col("b") / F.col("width")).cast("int")
+    is_head = F.element_at(F.element_at("steps", block + 1), (F.col("b") - block * F.col("width") + 1).cast("int")) == F.col("key")
     own = F.struct(F.col("b"), F.lit(False).alias("copy"))
-    copy = F.struct(F.element_at(F.lit(to).cast("array<int>"), place).alias("b"), F.lit(True).alias("copy"))
-    is_head = F.coalesce(F.element_at(F.array(*[F.lit(h).cast("long") for h in head_of]), place) == F.col("key"), F.lit(False))
+    copy = F.struct(F.pmod(F.col("b") - 1, F.col("filled")).alias("b"), F.lit(True).alias("copy"))
     rows = rows.withColumn("at", F.explode(F.when(is_head, F.array(own, copy)).otherwise(F.array(own)))).select("doc_id", "key", "text", "at.b", "at.copy")
     rows = rows.repartition("b").withColumn("sketch", sketch(F.col("text"), k))
     order = Window.partitionBy("b").orderBy(F.col("copy"), F.col("key").desc(), F.col("text").desc())

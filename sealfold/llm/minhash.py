@@ -12,7 +12,8 @@
 
 Defined results: a null or empty text, or one without words, has no shingles and is linked with nothing; equal texts are
 always linked; of a component the document with the least id stays; a null id is linked with nothing; ids are taken to be
-unique (rows that repeat an id and a text are one document); an empty table gives an empty table; other columns are ignored.
+unique (rows that repeat an id and a text are one document); texts of any length are shingled whole; an empty table gives
+an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sealfold.llm import wordhash
-from sealfold.llm.common import bloom, bloom_bits, bounded_batches, documents, drop_garbage, in_arrow, materialize, packed, with_maybe
-from sealfold.llm.components import components
+from sealfold.llm.common import bloom, bounded_batches, discard, documents, drop_garbage, in_arrow, materialize, packed
+from sealfold.llm.components import components, joined
 from sealfold.llm.token_counts import texts
 
 BANDS, ROWS = 32, 5
@@ -145,16 +146,14 @@ def _likeliest(candidates: DataFrame) -> DataFrame:
     return best.select("best.a", "best.b").distinct()
 
 
-def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """The components of what labels and links connect. Labels are stars already, so this takes few rounds."""
-    return components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
-
-
 def _split(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, key, m, c and top for the keys that hold several components: a document's component, and the key's largest."""
-    own = _labelled(buckets.select("doc_id", "key", "m"), labels, "doc_id", "c")
+    own = materialize(_labelled(buckets.select("doc_id", "key", "m"), labels, "doc_id", "c"), "own")
     parts = own.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"), F.max("m").alias("m")).where("k < m")
-    return own.join(parts.groupBy("key").agg(F.max(F.struct("k", "c")).alias("top")).select("key", F.col("top.c").alias("top")), "key")
+    tops = materialize(parts.groupBy("key").agg(F.max(F.struct("k", "c")).alias("top")).select("key", F.col("top.c").alias("top")), "tops")
+    found = materialize(own.join(tops, "key"), "split")
+    discard(own, tops)
+    return found
 
 
 def _sharing_rare(rows: DataFrame, size: int, percent: int) -> DataFrame:
@@ -174,19 +173,26 @@ def _sharing_rare(rows: DataFrame, size: int, percent: int) -> DataFrame:
 
     sets = in_arrow(rows.select("doc_id", "outside", "c", "text"), run, "doc_id long, outside boolean, c long, hashes array<long>")
     each = materialize(sets.select("doc_id", "outside", "c", F.size("hashes").alias("n"), F.explode("hashes").alias("h")), "shingles")
-    often = each.groupBy("h").agg(F.count(F.lit(1)).alias("often"))
-    ranked = each.join(often, "h").groupBy("doc_id", "outside", "c", "n").agg(F.sort_array(F.collect_list(F.struct("often", "h"))).alias("order"))  # a text's shingles
+    # A shingle of one document finds no partner; it only takes up a place among the rarest. Stored, so that hot ones can be split in the join.
+    often = materialize(each.groupBy("h").agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "often")
+    shared = each.join(often, "h").groupBy("doc_id", "outside", "c", "n").agg(F.sort_array(F.collect_list(F.struct("often", "h"))).alias("order"))  # a text's shingles
     p = percent
-    prefix = ranked.select("doc_id", "outside", "c", "n", F.posexplode(F.slice("order", 1, F.col("n") - F.ceil(p * F.col("n") / 100).cast("int") + 1)).alias("at", "x"))
+    own = F.col("n") - F.size("order")  # shingles that no other document has
+    places = F.col("n") - F.ceil(p * F.col("n") / 100).cast("int") + 1
+    prefix = shared.where(own < places).select("doc_id", "outside", "c", "n", own.alias("own"), F.posexplode(F.slice("order", 1, places - own)).alias("at", "x"))
+    prefix = prefix.withColumn("at", F.col("at") + F.col("own")).drop("own")
     of = lambda s: F.floor(F.log(s) / F.lit(float(np.log(SIZE_CLASS))) + 1e-9).cast("int")
     most = F.least((F.col("n") - F.col("at")) * (100 + p) / p - F.col("n"), 100 * F.col("n") / p)
     least = F.greatest(F.ceil(p * F.col("n") / 100), F.lit(1))
     able = prefix.where(most >= least).withColumn("other", F.explode(F.sequence(of(least), of(most))))
-    entry = able.select(F.col("x.h").alias("h"), "doc_id", "outside", "c", of(F.col("n")).alias("own"), "other")
+    entry = materialize(able.select(F.col("x.h").alias("h"), "doc_id", "outside", "c", of(F.col("n")).alias("own"), "other"), "prefixes")
+    discard(each, often)
     left = entry.where("outside").select("h", "own", "other", F.col("doc_id").alias("l"), F.col("c").alias("cl"))
     right = entry.select("h", F.col("other").alias("own"), F.col("own").alias("other"), F.col("doc_id").alias("r"), F.col("c").alias("cr"), F.col("outside").alias("both"))
     pairs = left.join(right, ["h", "own", "other"]).where("cl <> cr and (not both or l < r)")
-    return pairs.select(F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b")).distinct()
+    found = materialize(pairs.select(F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b")).distinct(), "rare")
+    discard(entry)
+    return found
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -195,26 +201,29 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     spark = docs.sparkSession
     bounded_batches(spark)
     sketches = materialize(sketch(docs, size), "sketches")
-    rows = sketches.count()
-    alike = ["n", "s1", "s2"]
-    usable = sketches.where("n > 0 and doc_id is not null")
-    classes = usable.groupBy(*alike).agg(F.min("doc_id").alias("rep"))
-    members = materialize(usable.select("doc_id", *alike).join(classes, alike).select("doc_id", "n", "rep"), "members")
-    reps = materialize(usable.join(members.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "sig", "bands"), "reps")
+    alike, usable = ["n", "s1", "s2"], F.expr("n > 0 and doc_id is not null")
+    # Joins to groups: the groups are stored first, so both sides are plain exchanges and adaptive execution splits the rows of a hot group.
+    classes = materialize(sketches.where(usable).groupBy(*alike).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k"), "classes")
+    named = sketches.join(classes, alike, "left").withColumn("rep", F.when(usable, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))
+    stands = usable & (F.col("doc_id") == F.col("rep"))
+    members = materialize(named.select("doc_id", "n", "rep", *[F.when(stands, F.col(c)).alias(c) for c in ("sig", "bands")]), "members")
+    discard(sketches, classes)
+    reps = members.where("bands is not null").select("doc_id", "sig", "bands")
     keyed = reps.select("doc_id", F.explode("bands").alias("key"))
-    # Joins to groups are inner joins between two plain exchanges: where a group is hot, adaptive execution splits its rows.
     # The least of id xor key is an id, and another one for each key: a leader that partial aggregation can find.
     keys = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.col("doc_id").bitwiseXOR(F.col("key"))).alias("x")).where("m > 1").select("key", "m", F.col("x").bitwiseXOR(F.col("key")).alias("leader"))
+    keys = materialize(keys, "keys")
     buckets = materialize(keyed.join(keys, "key"), "buckets")
     star = buckets.where("doc_id <> leader").select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct()
     candidates = materialize(_agreeing(star, reps, share), "candidates")
+    ids = materialize(buckets.select("doc_id").distinct(), "ids")
+    discard(keys)
     drop_garbage(spark)
-    in_buckets = buckets.select("doc_id").distinct()
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    in_buckets = materialize(in_buckets, "ids")
-    bits = bloom_bits(rows)
-    near = with_maybe(text, "doc_id", bloom(in_buckets, "doc_id", bits), bits).where("maybe").drop("maybe")  # only these texts are shuffled
-    held = materialize(near.join(in_buckets, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    table = bloom(ids, "doc_id", ids.count())
+    near = table.maybe(text, "doc_id").where("maybe").drop("maybe")  # only these texts are shuffled
+    held = materialize(near.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    discard(ids, table.words)
     drop_garbage(spark)
 
     first = _likeliest(candidates)
@@ -226,36 +235,37 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     # Keys that hold several components: first each document outside the largest one meets that component's most typical
     # document, the one most like its candidates on the whole: what copies were made from is closer to all than they are.
-    split = materialize(_split(buckets, labels), "split")
+    split = _split(buckets, labels)
     typical = _ends(candidates).groupBy("x").agg(F.avg("est").alias("near")).withColumnRenamed("x", "doc_id")
     hub = split.where("c = top").join(typical, "doc_id").groupBy("key").agg(F.max(F.struct("near", "doc_id")).alias("hub")).select("key", F.col("hub.doc_id").alias("hub"))
+    hub = materialize(hub, "hubs")
     met = split.where("c <> top").join(hub, "key").select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
     met = materialize(_agreeing(met.join(tried, ["a", "b"], "left_anti"), reps, share).select("a", "b"), "third")
-    labels = _joined(labels, materialize(confirmed(met, held, size, percent), "links"))
-    tried = tried.union(met)
+    labels = joined(labels, materialize(confirmed(met, held, size, percent), "links"))
     drop_garbage(spark)
 
     # What is still apart can only be linked by rare shingles: an exact join finds such pairs.
-    still = materialize(_split(split.select("doc_id", "key", "m"), labels), "split")
-    sides = still.groupBy("doc_id").agg(F.max(F.col("c") != F.col("top")).alias("outside"), F.first("c").alias("c"))
+    still = _split(split.select("doc_id", "key", "m"), labels)
+    sides = materialize(still.groupBy("doc_id").agg(F.max(F.col("c") != F.col("top")).alias("outside"), F.first("c").alias("c")), "sides")
+    discard(buckets, candidates, split, hub, still)
     pairs = _sharing_rare(held.join(sides, "doc_id"), size, percent)
-    last = pairs.join(tried, ["a", "b"], "left_anti")
-    labels = _joined(labels, materialize(confirmed(last, held, size, percent), "links"))
-
-    named = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
-    alone = sketches.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return named.unionByName(alone)
+    last = materialize(confirmed(pairs.join(tried, ["a", "b"], "left_anti").join(met, ["a", "b"], "left_anti"), held, size, percent), "links")
+    labels = joined(labels, last)
+    drop_garbage(spark)
+    named = members.select("doc_id", "n", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    out = materialize(named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")), "found")
+    discard(members, held, tried, met, sides, pairs)
+    return out
 
 
 def deduplicate(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that stay, one of each component, with all their columns."""
-    found = materialize(near_duplicates(docs, size, percent), "found")
+    found = near_duplicates(docs, size, percent)
     # Ids that go, and ids that several rows have, are few: rows with any other id pass straight through.
     each = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("component_id").alias("c"))
     odd = materialize(each.where("n > 1 or c <> doc_id").select("doc_id", (F.col("c") == F.col("doc_id")).alias("stays")), "odd")
-    bits = bloom_bits(odd.count())
     rows = docs.select(packed(docs).alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
-    rows = with_maybe(rows, "doc_id", bloom(odd, "doc_id", bits), bits)
+    rows = bloom(odd, "doc_id", odd.count()).maybe(rows, "doc_id")
     maybe = rows.where("maybe").join(odd, "doc_id", "left")
     out = [rows.where("not maybe"), maybe.where("stays is null"), maybe.where("stays").dropDuplicates(["doc_id"])]
     return out[0].select("row").unionByName(out[1].select("row")).unionByName(out[2].select("row")).select("row.*")
