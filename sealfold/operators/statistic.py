@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Row
 
-from sealfold.plans.audit import Frame, as_frame
+from sealfold.plans.audit import Frame, LeakageError, as_frame
+from sealfold.plans.modes import Mode
 from sealfold.plans.zones import Partitioner
 
 
@@ -29,9 +30,16 @@ def _rows(batch: pa.RecordBatch) -> Iterator[Row]:
 
 def partition_count(df: DataFrame) -> int:
     """The partitions a frame will have. Behind a shuffle it is the configured number, for to ask Spark would run the stages before."""
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    if "Exchange" in plan and "InMemory" not in plan:
-        return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stack = [df._jdf.queryExecution().sparkPlan()]
+    while stack:
+        node = stack.pop()
+        name = node.nodeName()
+        if name.startswith("InMemory"):
+            continue  # stored partitions are known
+        if name == "Exchange" or "SortMergeJoin" in name or "ShuffledHashJoin" in name or "Aggregate" in name or name == "Window":
+            return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        children = node.children()
+        stack += [children.apply(i) for i in range(children.size())]
     return df.rdd.getNumPartitions()
 
 
@@ -67,16 +75,44 @@ def statistic(partitioner: Partitioner, data: Frame | DataFrame, zero: Any, seq_
 
     partials = frame.derive(lambda d: d.mapInArrow(fold, "key int, value binary").repartition(fan_in, "key"), "statistic")
     placed = partitioner.untrusted(partitioner.auditor.register_statistic_exchange(partials))
-    out = placed.df.mapInArrow(combine, "value binary", profile=partitioner.profile_for_combines())
+    out = placed.df.mapInArrow(combine, "value binary")
     result = copy.deepcopy(zero)
     for row in out.collect():  # fan_in values
         result = comb_op(result, pickle.loads(row["value"]))
     return result
 
 
+#: Aggregates that give a number of bounded size, whatever the rows. Fixed values.
+STATISTICS = frozenset("Sum Count Min Max Average StddevSamp StddevPop VarianceSamp VariancePop Skewness Kurtosis Corr CovPopulation CovSample CentralMomentAgg TrySum TryAverage".split())
+
+
+def _check_statistics(df: DataFrame) -> None:
+    """LeakageError unless the frame's own aggregate is made of sums, counts, extremes, means and moments of numbers."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() == "Project" and plan.children().size() == 1:
+        plan = plan.children().apply(0)
+    if plan.nodeName() != "Aggregate" or plan.groupingExpressions().size():
+        raise LeakageError(f"{plan.nodeName()} is no statistic")
+    stack = [plan.aggregateExpressions().apply(i) for i in range(plan.aggregateExpressions().size())]
+    while stack:
+        node = stack.pop()
+        if node.getClass().getSimpleName() == "AggregateExpression":
+            function = node.aggregateFunction()
+            name, kind = function.getClass().getSimpleName(), function.dataType().typeName()
+            if name not in STATISTICS or kind in ("string", "binary", "array", "map", "struct"):
+                raise LeakageError(f"{function.prettyName()} gives {kind} out of rows: sums, counts, extremes, means and moments of numbers are statistics")
+            continue
+        stack += [node.children().apply(i) for i in range(node.children().size())]
+
+
 def statistic_agg(partitioner: Partitioner, data: Frame | DataFrame, *columns: Column) -> Row:
-    """One row of built-in aggregates. Their exchange carries one partial row a partition, so it counts as a statistic."""
+    """One row of built-in aggregates that are statistics; LeakageError for others, such as lists of values.
+
+    Their exchange carries one partial row a partition, so it counts as a statistic, and the final aggregate is what is placed.
+    """
     frame = as_frame(data)
+    if partitioner.mode is Mode.SML2:
+        _check_statistics(frame.df.agg(*columns))
     out = partitioner.auditor.register_statistic_exchange(frame.derive(lambda d: d.agg(*columns), "statistic"))
     return partitioner.untrusted(out).df.first()
 

@@ -1,7 +1,8 @@
 """Leakage audit: what a frame derives from, and whether it may leave the enclave zone.
 
-PySpark fuses its own steps, so the JVM's lineage doesn't show them one by one. The audit therefore walks frames of this
-library, which record where they come from; a plain DataFrame has no record and counts as raw data.
+The audit walks frames of this library, which name the frames they derive from; a plain DataFrame names none and counts as
+raw data. What a frame names is not taken on trust: its analysed plan is walked too, and whatever relation in it does not
+lie within the plan of a named parent (a join, a subquery, another frame put in its place) is raw data as well.
 """
 
 from __future__ import annotations
@@ -42,6 +43,21 @@ class Frame:
         return Frame(self.df.unionByName(other.df), "union", (self, other))
 
 
+def _undeclared(df: DataFrame, parents: Iterable[DataFrame]) -> str | None:
+    """A relation that the plan of df reads outside the plans of its parents, if there is one."""
+    known = [p._jdf.queryExecution().analyzed() for p in parents]
+    stack = [df._jdf.queryExecution().analyzed()]
+    while stack:
+        node = stack.pop()
+        if any(node.fastEquals(p) or node.sameResult(p) for p in known):
+            continue
+        below = [x.apply(i) for x in (node.children(), node.subqueries(), node.innerChildren()) for i in range(x.size())]
+        if not below and not node.nodeName() == "OneRowRelation":
+            return node.nodeName()
+        stack += [x for x in below if hasattr(x, "subqueries")]
+    return None
+
+
 def as_frame(data: Frame | DataFrame) -> Frame:
     return data if isinstance(data, Frame) else Frame(data)
 
@@ -77,4 +93,6 @@ class LeakageAuditor:
                 continue
             if not frame.parents:
                 raise LeakageError(f"raw data of {path[-1]} would reach the untrusted zone by " + " <- ".join(path))
+            if found := _undeclared(frame.df, [p.df for p in frame.parents]):
+                raise LeakageError(f"raw data of {path[-1]}, whose plan reads {found} besides what it derives from, would reach the untrusted zone by " + " <- ".join(path))
             stack += [(p, path) for p in reversed(frame.parents)]

@@ -60,15 +60,18 @@ class Partitioner:
         return self._profile
 
     def untrusted(self, data: Frame | DataFrame) -> Frame:
-        """The frame, audited and counted for the untrusted zone. SML1 places nothing and audits nothing."""
+        """The frame, audited, counted and placed: the stage that makes its rows runs under the untrusted profile.
+
+        A stage reaches back to its last exchange, so what is placed is all that happens behind the exchange of a
+        statistic. SML1 places nothing and audits nothing; a local master has one zone, where placements are counted only.
+        """
         frame = as_frame(data)
         if self.mode is Mode.SML1:
             return frame
         self.auditor.check_untrusted(frame)
         with self._lock:
             self._placements += 1
-        return frame
-
-    def profile_for_combines(self) -> ResourceProfile | None:
-        """What a placed stage runs under; None for the default profile."""
-        return None if self.local or self.mode is Mode.SML1 else self.untrusted_profile
+        if self.local:
+            return frame
+        profile = self.untrusted_profile
+        return frame.derive(lambda d: d.mapInArrow(lambda batches: batches, d.schema, profile=profile), "untrusted")

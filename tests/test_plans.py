@@ -99,6 +99,36 @@ def test_audit_accepts_statistics_and_public_frames(spark):
     assert p.untrusted_placements == 2
 
 
+def test_plans_are_held_against_what_frames_name(spark):
+    p, raw = Partitioner(spark, Mode.SML2), _raw(spark)
+    stat = _statistic(p.auditor, raw)
+    public = p.auditor.declare_public(Frame(spark.range(1, 11)))
+    hidden = [
+        stat.derive(lambda _: raw.df),
+        public.derive(lambda d: d.crossJoin(raw.df)),
+        public.derive(lambda d: d.withColumn("x", raw.df.agg(F.max("name")).scalar())),
+        Frame(raw.df, "faked", (public,)),
+        Frame(raw.df.select("name"), "faked", (stat, public)),
+    ]
+    for frame in hidden:
+        with pytest.raises(LeakageError, match="besides what it derives from"):
+            p.untrusted(frame)
+    both = stat.derive(lambda d: d.join(public.df, d.value == public.df.id), others=[public])
+    p.untrusted(both.derive(lambda d: d.groupBy("id").count()))
+    p.untrusted(stat.derive(lambda d: d.alias("a").join(d.alias("b"), "name")))  # with itself
+
+
+@pytest.mark.parametrize("column", ["collect_list(value)", "collect_set(name)", "max(name)", "first(value)", "max_by(value, value)", "array_agg(value)", "struct(sum(value), min(name))"])
+def test_only_statistics_leave_as_aggregates(spark, column):
+    column = F.expr(column)
+    s = create_session(spark, Config(mode=Mode.SML2))
+    with pytest.raises(LeakageError):
+        s.statistic_agg(_raw(spark), column.alias("x"))
+    assert s.partitioner.untrusted_placements == 0
+    assert s.statistic_agg(_raw(spark), F.sum("value").alias("x"), (F.avg("value") * 2).alias("y")).asDict() == {"x": 3.0, "y": 3.0}
+    create_session(spark, Config(mode=Mode.SML1)).statistic_agg(_raw(spark), column.alias("x"))  # nothing leaves the enclave zone
+
+
 def test_a_statistic_of_one_auditor_is_none_of_another(spark):
     frame = _statistic(LeakageAuditor(), _raw(spark))
     with pytest.raises(LeakageError):
@@ -150,4 +180,6 @@ def test_add_in_place():
 
 def test_partition_count(spark):
     assert partition_count(spark.range(9, numPartitions=7)) == 7
+    small = F.broadcast(spark.range(3, numPartitions=2).withColumnRenamed("id", "other"))
+    assert partition_count(spark.range(9, numPartitions=7).join(small, F.col("id") == F.col("other"))) == 7  # a broadcast moves no rows
     assert partition_count(spark.range(9).groupBy("id").count()) == int(spark.conf.get("spark.sql.shuffle.partitions"))
