@@ -84,11 +84,13 @@ class Session:
         return {"key_file": keystore.export_file()} if self.partitioner.local else {}
 
     def load_encrypted(self, path: str, schema: StructType | None = None) -> EncryptedDataset:
-        """A table, encrypted or plain, with the schema's columns if one is given."""
+        """A table, encrypted or plain, with the schema's columns if one is given: only these are read."""
+        path = encrypted.qualified(self.spark, path)
         if encrypted.is_encrypted(path):
             options = self._key_file()
             stored = encrypted.stored_schema(path, options.get("key_file"))
-            df = self.spark.read.format(encrypted.NAME).schema(stored).options(**options).load(path)
+            wanted = StructType([f for f in stored if schema is None or f.name in schema.names])
+            df = self.spark.read.format(encrypted.NAME).schema(wanted).options(**options).load(path)
         else:
             df = self.spark.read.parquet(path)
         return EncryptedDataset(conform(df, schema) if schema else df, self.key_id)
@@ -101,6 +103,7 @@ class Session:
         if not self.config.encryption_enabled:
             df.write.mode(mode).parquet(path)
             return
+        path = encrypted.qualified(self.spark, path)
         if mode in ("errorifexists", "error", "ignore"):
             fs, root = encrypted.filesystem(path)
             if fs.get_file_info(root).type != encrypted.pafs.FileType.NotFound:

@@ -164,6 +164,51 @@ def test_save_modes(spark, tmp_path):
     assert os.path.exists(f"{path}/_SUCCESS") and not glob.glob(f"{path}/_temporary*")
 
 
+def test_writes_appear_at_once(spark, tmp_path):
+    s, path = create_session(spark), f"{tmp_path}/t"
+    s.save_encrypted(spark.range(3).coalesce(1), path)
+    old = s.load_encrypted(path).data
+    before = encrypted.data_files(path)
+    schema = StructType([StructField("id", LongType())])
+    options = {"path": path, "key_id": s.key_id, "key_file": keystore.export_file()}
+    batch = [encrypted.pa.RecordBatch.from_arrays([encrypted.pa.array([7, 8], encrypted.pa.int64())], ["id"])]
+    one, other, lost = (encrypted.EncryptedWriter(schema, options, o) for o in (False, False, True))
+    done = [(w, w.write(iter(batch))) for w in (one, other, lost)]
+    assert encrypted.data_files(path) == before and old.count() == 3  # files without a manifest are not there
+    done[2][0].abort([])
+    for w, message in done[:2]:  # two appends at the same time both count
+        w.commit([message, None])
+    assert s.load_encrypted(path).data.count() == 7
+    s.save_encrypted(spark.range(4), path, "overwrite")
+    assert s.load_encrypted(path).data.count() == 4
+    assert sorted(glob.glob(f"{path}/*.parquet")) == encrypted.data_files(path)
+
+
+def test_splits_columns_and_skipped_groups(spark, tmp_path, monkeypatch):
+    s, path = create_session(spark), f"{tmp_path}/t"
+    monkeypatch.setattr(encrypted, "GROUP_ROWS", 100)
+    df = spark.range(1000, numPartitions=1).selectExpr("id", "cast(id as string) AS note", "id / 2 AS half")
+    writer = encrypted.EncryptedWriter(df.schema, {"path": path, "key_id": s.key_id, "key_file": keystore.export_file()}, False)
+    writer.commit([writer.write(iter(df.toArrow().to_batches(100)))])
+    monkeypatch.setattr(encrypted, "SPLIT_BYTES", 3000)
+    narrow = StructType([StructField("id", LongType())])
+    reader = encrypted.EncryptedReader(narrow, {"path": path, "key_file": keystore.export_file()})
+    parts = reader.partitions()
+    read = lambda: [x for p in parts for b in reader.read(p) for x in b.to_pydict()["id"]]
+    assert len(parts) > 3 and sorted(read()) == list(range(1000))
+    for f, low, high in [(encrypted.EqualTo(("id",), 250), 200, 300), (encrypted.LessThan(("id",), 100), 0, 100), (encrypted.GreaterThanOrEqual(("id",), 899), 800, 1000), (encrypted.In(("id",), (5, 995)), None, None)]:
+        assert list(reader.pushFilters([f])) == [f]  # Spark applies it again
+        want = list(range(low, high)) if low is not None else [*range(100), *range(900, 1000)]
+        assert sorted(read()) == want
+    loaded = s.load_encrypted(path, narrow).data
+    assert loaded.columns == ["id"] and sorted(r["id"] for r in loaded.where("id between 250 and 260").collect()) == list(range(250, 261))
+
+
+def test_paths_are_of_sparks_file_system(spark, tmp_path):
+    assert encrypted.qualified(spark, f"{tmp_path}/t") == f"file:{tmp_path}/t"
+    assert encrypted.qualified(spark, "file:///x/y") == "file:/x/y"
+
+
 def test_timestamps_and_nulls_survive(spark, tmp_path):
     s = create_session(spark)
     df = spark.sql("SELECT timestamp_ntz'2020-01-02 03:04:05' AS t, cast(null AS string) AS n, array(1, null) AS a UNION ALL SELECT null, 'x', null")
