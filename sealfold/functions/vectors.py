@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
@@ -50,8 +51,38 @@ def add_in_place(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a
 
 
+#: Terms that an expression may spell out, for generated code to hold them; models with more go through Arrow as matrix products.
+UNROLLED = 64
+
+
+def _rows(a: pa.Array, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of d numbers, whether each row is whole). Rows that are null or of another size, or hold a null, have no numbers."""
+    a = a.cast(pa.list_(pa.float64()))
+    whole = pc.fill_null(pc.equal(pc.list_value_length(a), d), False).to_numpy(zero_copy_only=False)
+    x = a.filter(pa.array(whole)).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+    full = np.full((len(a), d), np.nan)
+    full[whole] = x
+    return full, whole & ~np.isnan(full).any(axis=1)
+
+
+def products(features: Column, weights: np.ndarray) -> Column:
+    """The inner products of an array column with each row of weights, as array<double>; null for rows of another size."""
+    weights = np.asarray(weights, np.float64)
+
+    @F.arrow_udf("array<double>")
+    def product(column: pa.Array) -> pa.Array:
+        x, whole = _rows(column, weights.shape[1])
+        out = x @ weights.T
+        at = pa.array(np.arange(0, out.size + 1, len(weights)).astype(np.int32))
+        return pa.ListArray.from_arrays(at, pa.array(out.ravel()), mask=pa.array(~whole))
+
+    return product(features)
+
+
 def dot(features: Column, weights: Sequence[float]) -> Column:
     """The inner product of an array column with fixed weights, one term after another."""
+    if len(weights) > UNROLLED:
+        return products(features, np.asarray(weights)[None])[0]
     terms = [F.get(features, i) * F.lit(float(w)) for i, w in enumerate(weights)]
     return reduce(lambda x, y: x + y, terms, F.lit(0.0))
 
@@ -61,9 +92,42 @@ def squared_distance(features: Column, point: Sequence[float]) -> Column:
     return reduce(lambda x, y: x + y, terms, F.lit(0.0))
 
 
+def nearest(x: np.ndarray, points: np.ndarray, block: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the nearest point, squared distance to it) of each row; of equally near ones the least index.
+
+    A matrix product tells which points can be the nearest; where more than one can within rounding, differences decide.
+    At most ``block`` numbers are held at once.
+    """
+    index, distance = np.zeros(len(x), np.int64), np.zeros(len(x))
+    squares = (points**2).sum(1)
+    step = max(1, block // max(1, len(points)))
+    for first in range(0, len(x), step):
+        part = x[first : first + step]
+        own = (part**2).sum(1)
+        rough = own[:, None] - 2 * (part @ points.T) + squares
+        best = rough.argmin(1)
+        slack = 1e-9 * (own + squares.max())
+        for i in np.flatnonzero((rough <= (rough.min(1) + slack)[:, None]).sum(1) > 1):
+            near = np.flatnonzero(rough[i] <= rough[i].min() + slack[i])
+            best[i] = near[((points[near] - part[i]) ** 2).sum(1).argmin()]
+        index[first : first + step] = best
+        distance[first : first + step] = ((part - points[best]) ** 2).sum(1)
+    return index, distance
+
+
 def closest(features: Column, points: Sequence[Sequence[float]]) -> Column:
     """struct(distance, index) of the nearest point; of equally near ones the one with the least index."""
-    return F.array_min(F.array(*[F.struct(squared_distance(features, p).alias("distance"), F.lit(i).alias("index")) for i, p in enumerate(points)]))
+    table = np.asarray(points, np.float64)
+    if table.size <= UNROLLED:
+        return F.array_min(F.array(*[F.struct(squared_distance(features, p).alias("distance"), F.lit(i).alias("index")) for i, p in enumerate(table.tolist())]))
+
+    @F.arrow_udf("distance double, index int")
+    def found(column: pa.Array) -> pa.Array:
+        x, whole = _rows(column, table.shape[1])
+        index, distance = nearest(np.where(whole[:, None], x, 0.0), table)
+        return pa.StructArray.from_arrays([pa.array(distance), pa.array(index.astype(np.int32))], ["distance", "index"], mask=pa.array(~whole))
+
+    return found(features)
 
 
 def sigmoid(m: Column) -> Column:

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sealfold.functions.vectors import as_array, dot, matrix, num_features, numbers, with_arrays
+from sealfold.functions.vectors import UNROLLED, as_array, dot, matrix, num_features, numbers, products, with_arrays
 
 
 @dataclass(frozen=True)
@@ -25,6 +25,10 @@ class NaiveBayesModel:
 
     def transform(self, df: DataFrame, column: str = "features", output: str = "prediction") -> DataFrame:
         x = as_array(df, column)
+        if self.theta.size > UNROLLED:
+            most = products(x, self.theta)
+            joint = F.transform(F.arrays_zip(most.alias("s"), F.lit(self.pi.tolist()).alias("p")), lambda v: v["s"] + v["p"])
+            return df.withColumn("__joint", joint).withColumn(output, (F.array_position("__joint", F.array_max("__joint")) - 1).cast("double")).drop("__joint")
         # Likeliest first, then the least class: the least of (-likelihood, class).
         scores = [F.struct((-(F.lit(float(p)) + dot(x, t))).alias("less"), F.lit(float(c)).alias("class")) for c, (p, t) in enumerate(zip(self.pi, self.theta, strict=True))]
         return df.withColumn(output, F.array_min(F.array(*scores))["class"])

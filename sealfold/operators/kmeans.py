@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sealfold.functions.vectors import add_in_place, as_array, closest, matrix, num_features, with_arrays
+from sealfold.functions.vectors import add_in_place, as_array, closest, matrix, nearest, num_features, with_arrays
 
 #: Rows from which starting points are picked.
 SAMPLE = 10_000
@@ -48,28 +48,42 @@ def seeds(points: np.ndarray, k: int, seed: int) -> np.ndarray:
     return np.array(chosen)
 
 
-def lloyd_step(session, points: DataFrame, centroids: np.ndarray) -> tuple[np.ndarray, float]:
-    """(new centroids, cost with the old ones). A cluster that no point is nearest to keeps its centroid."""
+def sampled(points: DataFrame, seed: int, size: int = SAMPLE) -> np.ndarray:
+    """So many rows by chance, or all where there are no more: repeated points count as often as they occur. The driver counts as enclave."""
+    n = points.count()
+    rows = points.select("features", F.rand(seed).alias("__chance"))
+    if n > size:  # twice as many and a margin, so that fewer than wanted are a chance of nothing; then the least of them
+        rows = rows.where(F.col("__chance") < (2 * size + 1000) / n)
+    found = rows.orderBy("__chance").limit(size).collect()
+    return np.array([r["features"] for r in found], np.float64)
+
+
+def partial_sums(session, points: DataFrame, centroids: np.ndarray) -> tuple[np.ndarray, float]:
+    """(a row a cluster: the sums of its points and their number, cost)."""
     k, d = centroids.shape
 
     def fold(total: np.ndarray, batch) -> np.ndarray:
         x = matrix(batch, d)
-        for first in range(0, len(x), 4096):
-            part = x[first : first + 4096]
-            distance = ((part[:, None, :] - centroids[None]) ** 2).sum(2)
-            nearest = distance.argmin(1)
-            sums = np.zeros((k, d + 1))
-            np.add.at(sums, nearest, np.column_stack([part, np.ones(len(part))]))
-            total[:-1] += sums.ravel()
-            total[-1] += distance[np.arange(len(part)), nearest].sum()
+        index, distance = nearest(x, centroids)
+        order = np.argsort(index, kind="stable")
+        found, first = np.unique(index[order], return_index=True)
+        blocks = total[:-1].reshape(k, d + 1)
+        blocks[found, :-1] += np.add.reduceat(x[order], first) if len(x) else 0.0
+        blocks[found, -1] += np.diff(np.append(first, len(x)))
+        total[-1] += distance.sum()
         return total
 
     total = session.statistic(points, np.zeros(k * (d + 1) + 1), fold, add_in_place, batches=True)
-    blocks = total[:-1].reshape(k, d + 1)
+    return total[:-1].reshape(k, d + 1), float(total[-1])
+
+
+def lloyd_step(session, points: DataFrame, centroids: np.ndarray) -> tuple[np.ndarray, float]:
+    """(new centroids, cost with the old ones). A cluster that no point is nearest to keeps its centroid."""
+    blocks, cost = partial_sums(session, points, centroids)
     filled = blocks[:, -1] > 0
     new = centroids.copy()
     new[filled] = blocks[filled, :-1] / blocks[filled, -1:]
-    return new, float(total[-1])
+    return new, cost
 
 
 @dataclass(frozen=True)
@@ -84,10 +98,7 @@ class KMeans:
         points = with_arrays(dataset.data, column).cache()
         try:
             num_features(self.session, points)
-            # A hash order picks the same sample whatever the partitioning; the driver counts as enclave.
-            order = points.orderBy(F.xxhash64("features", F.lit(self.seed))).limit(SAMPLE)
-            sample = np.array([r["features"] for r in order.collect()], np.float64)
-            centroids = seeds(sample, self.k, self.seed)
+            centroids = seeds(sampled(points, self.seed), self.k, self.seed)
             for _ in range(self.max_iterations):
                 new, _ = lloyd_step(self.session, points, centroids)
                 moved = np.sqrt(((new - centroids) ** 2).sum(1))

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sealfold.functions.vectors import as_array, dot, num_features, with_arrays
+from sealfold.functions.vectors import UNROLLED, as_array, dot, num_features, products, with_arrays
 from sealfold.operators.linear import moments
 
 
@@ -26,7 +26,8 @@ class PCAModel:
 
     def transform(self, df: DataFrame, column: str = "features", output: str = "projection") -> DataFrame:
         x = as_array(df, column)
-        return df.withColumn(output, F.array(*[dot(x, c) for c in self.components.T]))
+        small = self.components.size <= UNROLLED
+        return df.withColumn(output, F.array(*[dot(x, c) for c in self.components.T]) if small else products(x, self.components.T))
 
 
 def covariance(n: float, x: np.ndarray, xx: np.ndarray) -> np.ndarray:

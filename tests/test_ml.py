@@ -4,8 +4,11 @@ import numpy as np
 import pytest
 from pyspark.ml import classification, clustering, feature, regression
 from pyspark.ml.linalg import Vectors
+from pyspark.sql import functions as F
 
+from sealfold.functions import vectors
 from sealfold.functions.lbfgs import minimize
+from sealfold.functions.vectors import nearest
 from sealfold.operators import bayes, kmeans, linear, logistic, pca, wrappers
 from sealfold.plans.modes import Mode
 from sealfold.session import Config, EncryptedDataset, create_session
@@ -47,6 +50,44 @@ def test_kmeans_edges(spark, session):
     assert sorted(m.centroids.ravel().tolist()) == [0.0, 4.0]
 
 
+def test_seeds_count_rows_not_values(spark, session):
+    """Five places, each repeated far beyond the sample's size in all: every place must be in the sample, and gets a centroid."""
+    places = [(0.0, 0.0), (10.0, 7.0), (20.0, 14.0), (30.0, 21.0), (40.0, 28.0)]
+    df = spark.range(60_000, numPartitions=4).select(F.element_at(F.array(*[F.array(*map(F.lit, p)) for p in places]), (F.col("id") % 5 + 1).cast("int")).alias("features"))
+    sample = kmeans.sampled(df, 42)
+    assert len(sample) == kmeans.SAMPLE
+    assert min(np.unique(sample, axis=0, return_counts=True)[1]) > 1800
+    model = kmeans.KMeans(session, 5).train(_data(df))
+    assert sorted(map(tuple, model.centroids.tolist())) == places
+
+
+def test_nearest_points_by_blocks():
+    rng = np.random.default_rng(1)
+    x, points = rng.normal(size=(500, 30)) + 1e6, rng.normal(size=(70, 30)) + 1e6  # far from the origin, where products lose digits
+    points[5], points[9] = points[2], points[3]  # ties: the first
+    want = ((x[:, None] - points) ** 2).sum(2)
+    index, distance = nearest(x, points, block=300)
+    assert index.tolist() == want.argmin(1).tolist() and np.allclose(distance, want.min(1))
+
+
+def test_large_models_predict_as_small_ones(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(i, [float(v) for v in rng.integers(0, 5, 6)]) for i in range(50)] + [(50, None), (51, [1.0]), (52, [1.0, None, 1.0, 1.0, 1.0, 1.0])], "id long, features array<double>")
+    models = [
+        kmeans.KMeansModel(rng.normal(size=(4, 6)), 4), pca.PCAModel(rng.normal(size=(6, 3)), np.ones(3)), linear.LinearRegressionModel(rng.normal(size=6), 0.5),
+        logistic.LogisticRegressionModel(rng.normal(size=6), 0.1), bayes.NaiveBayesModel(np.log([0.5, 0.5]), np.log(rng.dirichlet(np.ones(6), 2))),
+    ]
+    whole = lambda m: [r.asDict() for r in m.transform(df).where("id < 50").orderBy("id").collect()]
+    small = [whole(m) for m in models]
+    monkeypatch.setattr(vectors, "UNROLLED", 0)
+    monkeypatch.setattr(pca, "UNROLLED", 0)
+    monkeypatch.setattr(bayes, "UNROLLED", 0)
+    for m, want in zip(models, small, strict=True):
+        for a, b in zip(whole(m), want, strict=True):
+            assert a.keys() == b.keys() and all(a[k] == b[k] if isinstance(a[k], int) else np.allclose(a[k], b[k]) for k in a)
+        assert m.transform(df).count() == 53
+
+
 def test_logistic_like_spark(spark, session):
     rng = np.random.default_rng(11)
     x = rng.standard_normal((1000, 2))
