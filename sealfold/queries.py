@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from sealfold.functions.vectors import as_array, num_features
 from sealfold.operators import bayes, kmeans, linear, logistic, pca, wrappers
@@ -109,11 +110,11 @@ def kmeans_assign(spark, sf_dir):
     return _first_three(spark, sf_dir).transform(table(spark, sf_dir, "embeddings"), "embedding").select("vec_id", "prediction")
 
 
-@query(f"WITH {_ASSIGNED} SELECT CAST(i AS INTEGER) AS cluster, CAST(k AS INTEGER) AS pos, count(*) AS n, round(sum(embedding[k + 1]::DOUBLE), 4) AS total FROM a, range(4) t(k) GROUP BY ALL")
+@query(f"WITH {_ASSIGNED} SELECT CAST(i AS INTEGER) AS cluster, CAST(k AS INTEGER) AS pos, count(*) AS n, round(sum(embedding[k + 1]::DOUBLE), 4) AS total FROM a, range(64) t(k) GROUP BY ALL")
 def kmeans_partials(spark, sf_dir):
-    own = _first_three(spark, sf_dir).transform(table(spark, sf_dir, "embeddings"), "embedding", "cluster")
-    sums = own.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.round(F.sum(F.get("embedding", F.lit(k)).cast("double")), 4) for k in range(4)]).alias("totals"))
-    return sums.select("cluster", "n", F.posexplode("totals").alias("pos", "total"))
+    """The sums and counts that each of Lloyd's steps takes, of whole vectors."""
+    sums, _ = kmeans.partial_sums(session(spark), _vectors(spark, sf_dir).select("features"), _first_three(spark, sf_dir).centroids)
+    return rows(spark, "cluster int, pos int, n long, total double", *[(i, k, int(c[-1]), round(float(x), 4)) for i, c in enumerate(sums) if c[-1] for k, x in enumerate(c[:-1])])
 
 
 @query(f"WITH {_ASSIGNED} SELECT round(sum(dist), 4) AS cost FROM a")
@@ -121,34 +122,28 @@ def kmeans_cost(spark, sf_dir):
     return rows(spark, "cost double", (round(_first_three(spark, sf_dir).cost(table(spark, sf_dir, "embeddings"), "embedding"), 4),))
 
 
-@query(f"WITH {_ASSIGNED} SELECT CAST(i AS INTEGER) AS cluster, CAST(k AS INTEGER) AS pos, count(*) AS n, round(sum(embedding[k + 1]::DOUBLE), 4) AS total FROM a, range(64) t(k) GROUP BY ALL")
-def kmeans_partials_whole(spark, sf_dir):
-    """Partial sums of whole vectors."""
-    own = _first_three(spark, sf_dir).transform(table(spark, sf_dir, "embeddings"), "embedding", "cluster")
-    sums = own.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.round(F.sum(F.get("embedding", F.lit(k)).cast("double")), 4) for k in range(64)]).alias("totals"))
-    return sums.select("cluster", "n", F.posexplode("totals").alias("pos", "total"))
-
-
-def _plane(spark, sf_dir) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings")
-    return e.select("vec_id", F.array(*[F.get("embedding", F.lit(k)).cast("double") for k in range(2)]).alias("features"))
+def _vectors(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("features"))
 
 
 def _lloyd_sql(steps: int) -> str:
-    ctes = ["p AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings)", "c0 AS (SELECT vec_id AS i, x, y FROM p WHERE vec_id < 3)"]
-    for k in range(steps):
-        ctes.append(f"n{k} AS (SELECT p.x, p.y, c.i FROM p, c{k} c QUALIFY row_number() OVER (PARTITION BY p.vec_id ORDER BY (p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y), c.i) = 1)")
-        ctes.append(f"c{k + 1} AS (SELECT c.i, coalesce(avg(n.x), c.x) AS x, coalesce(avg(n.y), c.y) AS y FROM c{k} c LEFT JOIN n{k} n ON n.i = c.i GROUP BY c.i, c.x, c.y)")
-    return f"WITH {', '.join(ctes)} SELECT CAST(i AS INTEGER) AS cluster, round(x, 6) AS x, round(y, 6) AS y FROM c{steps}"
+    distance = "list_sum(list_transform(range(1, 65), lambda k: (embedding[k]::DOUBLE - c[k]) * (embedding[k]::DOUBLE - c[k])))"
+    ctes = ["c0 AS (SELECT vec_id AS i, embedding::DOUBLE[] AS c FROM embeddings WHERE vec_id < 3)"]
+    for s in range(steps):
+        ctes.append(f"n{s} AS (SELECT embedding, i FROM (SELECT vec_id, embedding, i, {distance} AS dist FROM embeddings, c{s}) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY dist, i) = 1)")
+        ctes.append(f"m{s} AS (SELECT i, list(v ORDER BY k) AS v FROM (SELECT i, k, avg(embedding[k]::DOUBLE) AS v FROM n{s}, range(1, 65) t(k) GROUP BY i, k) GROUP BY i)")
+        ctes.append(f"c{s + 1} AS (SELECT c{s}.i, coalesce(m{s}.v, c{s}.c) AS c FROM c{s} LEFT JOIN m{s} ON m{s}.i = c{s}.i)")
+    return f"WITH {', '.join(ctes)} SELECT CAST(i AS INTEGER) AS cluster, CAST(k AS INTEGER) AS pos, round(c[k + 1], 6) + 0.0 AS value FROM c{steps}, range(64) t(k)"
 
 
 @query(_lloyd_sql(2))
 def kmeans_lloyd2(spark, sf_dir):
-    s, points = session(spark), _plane(spark, sf_dir)
-    c = np.array([r["features"] for r in points.where("vec_id < 3").orderBy("vec_id").collect()])
+    """Two of Lloyd's steps over whole vectors."""
+    s, points = session(spark), _vectors(spark, sf_dir)
+    c = _first_three(spark, sf_dir).centroids
     for _ in range(2):
         c, _ = kmeans.lloyd_step(s, points.select("features"), c)
-    return rows(spark, "cluster int, x double, y double", *[(i, round(float(x), 6), round(float(y), 6)) for i, (x, y) in enumerate(c)])
+    return rows(spark, "cluster int, pos int, value double", *[(i, k, round(float(x), 6) + 0.0) for i, v in enumerate(c) for k, x in enumerate(v)])
 
 
 @query()
@@ -172,8 +167,9 @@ def _flags(spark, sf_dir) -> DataFrame:
 @query(f"""WITH m AS (SELECT l_quantity AS a, l_discount AS b, (l_returnflag = 'R')::INT::DOUBLE AS y, {_MARGIN} AS m FROM lineitem), e AS (SELECT *, 1 / (1 + exp(-m)) - y AS e FROM m)
 SELECT round(sum(e * a), 2) AS g0, round(sum(e * b), 3) AS g1, round(sum(e), 3) AS g_intercept, round(sum(CASE WHEN m > 0 THEN m + ln(1 + exp(-m)) ELSE ln(1 + exp(m)) END - y * m), 3) AS loss, count(*) AS n FROM e""")
 def logreg_loss_grad(spark, sf_dir):
-    found = session(spark).statistic_agg(_flags(spark, sf_dir), *logistic.loss_and_gradient_columns(F.col("features"), F.col("label"), list(_WEIGHTS), _INTERCEPT))
-    return rows(spark, "g0 double, g1 double, g_intercept double, loss double, n long", (round(found["g0"], 2), round(found["g1"], 3), round(found["g_intercept"], 3), round(found["loss"], 3), found["n"]))
+    """The sums that each of the trainer's steps takes."""
+    g0, g1, intercept, loss, n = logistic.loss_and_gradient_sums(session(spark), _flags(spark, sf_dir).select("features", "label"), np.array([*_WEIGHTS, _INTERCEPT])).tolist()
+    return rows(spark, "g0 double, g1 double, g_intercept double, loss double, n long", (round(g0, 2), round(g1, 3), round(intercept, 3), round(loss, 3), int(n)))
 
 
 @query(f"SELECT l_orderkey, l_linenumber, CASE WHEN 1 / (1 + exp(-({_MARGIN}))) >= 0.5 THEN 1.0 ELSE 0.0 END::DOUBLE AS prediction FROM lineitem")
@@ -224,23 +220,29 @@ def linreg_predict(spark, sf_dir):
 
 # --- naive Bayes -----------------------------------------------------------------------------------------------------
 
-_TERMS = ("the", "de", "der", "on")
-_COUNTS_SQL = ", ".join(f"len(regexp_extract_all(coalesce(text, ''), '(^|[ ])({t})([ .,]|$)'))::DOUBLE" for t in _TERMS)
-_NB_ROWS = f"r AS (SELECT doc_id, quality AS y, [{_COUNTS_SQL}] AS x FROM documents JOIN labels USING (doc_id))"
-_NB_MODEL = """t AS (SELECT y, k AS pos, sum(x[k + 1]) AS s, count(*) AS n FROM r, range(4) q(k) GROUP BY ALL),
-m AS (SELECT y, pos, ln(n + 1) - ln(sum(n) OVER (PARTITION BY pos) + 2) AS pi, ln(s + 1) - ln(sum(s) OVER (PARTITION BY y) + 4) AS theta FROM t)"""
+#: Every word of a text counts, in the bucket that its hash names.
+_TERMS = 16
+_NB_ROWS = f"""w AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS w FROM documents),
+h AS (SELECT doc_id, strpos('0123456789abcdef', substr(md5(w), 1, 1)) AS b, count(*) AS c FROM w GROUP BY ALL),
+r AS (SELECT d.doc_id, quality AS y, list(coalesce(c, 0)::DOUBLE ORDER BY k) AS x FROM documents d JOIN labels USING (doc_id) CROSS JOIN range(1, {_TERMS + 1}) t(k) LEFT JOIN h ON h.doc_id = d.doc_id AND h.b = k GROUP BY d.doc_id, quality)"""
+_NB_MODEL = f"""t AS (SELECT y, k AS pos, sum(x[k + 1]) AS s, count(*) AS n FROM r, range({_TERMS}) q(k) GROUP BY ALL),
+m AS (SELECT y, pos, ln(n + 1) - ln(sum(n) OVER (PARTITION BY pos) + 2) AS pi, ln(s + 1) - ln(sum(s) OVER (PARTITION BY y) + {_TERMS}) AS theta FROM t)"""
 
 
 def _term_counts(spark, sf_dir) -> DataFrame:
-    counts = F.array(*[F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"(^|[ ])({t})([ .,]|$)"), F.lit(0))).cast("double") for t in _TERMS])
+    """Hashed word counts of whole texts, with their label."""
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    digits = F.lit("0123456789abcdef")
+    docs = docs.withColumn("b", F.transform(words, lambda w: F.instr(digits, F.substring(F.md5(w), 1, 1)) - 1))
+    counts = F.transform(F.sequence(F.lit(0), F.lit(_TERMS - 1)), lambda k: F.size(F.filter("b", lambda x: x == k)).cast("double"))
     return docs.select("doc_id", counts.alias("features"), F.col("quality").cast("double").alias("label"))
 
 
-@query(f"WITH {_NB_ROWS} SELECT CAST(y AS INTEGER) AS label, CAST(k AS INTEGER) AS pos, count(*) AS n, CAST(sum(x[k + 1]) AS BIGINT) AS total FROM r, range(4) q(k) GROUP BY ALL")
+@query(f"WITH {_NB_ROWS} SELECT CAST(y AS INTEGER) AS label, CAST(k AS INTEGER) AS pos, count(*) AS n, CAST(sum(x[k + 1]) AS BIGINT) AS total FROM r, range(16) q(k) GROUP BY ALL")
 def nb_counts(spark, sf_dir):
-    sums = bayes.class_sums(session(spark), _term_counts(spark, sf_dir).drop("doc_id"), len(_TERMS))
-    return rows(spark, "label int, pos int, n long, total long", *[(c, k, int(s[0]), int(s[k + 1])) for c, s in sums.items() for k in range(len(_TERMS))])
+    sums = bayes.class_sums(session(spark), _term_counts(spark, sf_dir).drop("doc_id"), _TERMS)
+    return rows(spark, "label int, pos int, n long, total long", *[(c, k, int(s[0]), int(s[k + 1])) for c, s in sums.items() for k in range(_TERMS)])
 
 
 @query(f"WITH {_NB_ROWS}, {_NB_MODEL} SELECT CAST(y AS INTEGER) AS label, CAST(pos AS INTEGER) AS pos, round(pi, 9) AS pi, round(theta, 9) AS theta FROM m")
@@ -257,71 +259,46 @@ def nb_predict(spark, sf_dir):
     return m.transform(data).select("doc_id", "prediction")
 
 
-@query("""WITH r AS (SELECT label AS y, [abs(round(embedding[1] * 10)), abs(round(embedding[2] * 10))] AS x FROM embeddings WHERE label IN (0, 2)),
-c AS (SELECT y FROM range(3) t(y)), n AS (SELECT c.y, count(r.y) AS n, coalesce(sum(x[1]), 0) AS a, coalesce(sum(x[2]), 0) AS b FROM c LEFT JOIN r ON r.y = c.y GROUP BY c.y)
-SELECT CAST(y AS INTEGER) AS label, round(ln(n + 1) - ln(sum(n) OVER () + 3), 9) AS pi, round(ln(a + 1) - ln(a + b + 2), 9) AS theta0, round(ln(b + 1) - ln(a + b + 2), 9) AS theta1 FROM n""")
-def nb_gap_model(spark, sf_dir):
-    """Labels 0 and 2 only: class 1, without rows, still has a smoothed prior."""
-    e = table(spark, sf_dir, "embeddings").where(F.col("label").isin(0, 2))
-    x = F.array(*[F.abs(F.round(F.get("embedding", F.lit(k)) * 10)).cast("double") for k in range(2)])
-    m = bayes.NaiveBayes(session(spark)).train(dataset(e.select(x.alias("features"), F.col("label").cast("double").alias("label"))))
-    return rows(spark, "label int, pi double, theta0 double, theta1 double", *[(c, round(float(p), 9), round(float(t[0]), 9), round(float(t[1]), 9)) for c, (p, t) in enumerate(zip(m.pi, m.theta, strict=True))])
-
-
 # --- PCA -------------------------------------------------------------------------------------------------------------
 
 
-def _coordinates(spark, sf_dir, d: int) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings")
-    return e.select("vec_id", F.array(*[F.get("embedding", F.lit(k)).cast("double") for k in range(d)]).alias("features"))
+_COVARIANCE = "c AS (SELECT i, j, covar_samp(embedding[i + 1]::DOUBLE, embedding[j + 1]::DOUBLE) AS c FROM embeddings, range(64) a(i), range(64) b(j) GROUP BY ALL)"
 
 
-@query("""SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(covar_samp(embedding[i + 1]::DOUBLE, embedding[j + 1]::DOUBLE), 8) + 0.0 AS covariance
-FROM embeddings, range(4) a(i), range(4) b(j) GROUP BY ALL""")
+@query(f"WITH {_COVARIANCE} SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(c, 8) + 0.0 AS covariance FROM c")
 def pca_covariance(spark, sf_dir):
-    n, x, _, xx, _ = linear.moments(session(spark), _coordinates(spark, sf_dir, 4).select("features"), 4, label=False)
-    c = pca.covariance(n, x, xx)
-    return rows(spark, "i int, j int, covariance double", *[(i, j, round(float(c[i, j]), 8) + 0.0) for i in range(4) for j in range(4)])
-
-
-@query("""SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(covar_samp(embedding[i + 1]::DOUBLE, embedding[j + 1]::DOUBLE), 8) + 0.0 AS covariance
-FROM embeddings, range(64) a(i), range(64) b(j) GROUP BY ALL""")
-def pca_covariance_whole(spark, sf_dir):
     """The covariance of whole vectors."""
-    n, x, _, xx, _ = linear.moments(session(spark), _coordinates(spark, sf_dir, 64).select("features"), 64, label=False)
+    n, x, _, xx, _ = linear.moments(session(spark), _vectors(spark, sf_dir).select("features"), 64, label=False)
     c = pca.covariance(n, x, xx)
     return rows(spark, "i int, j int, covariance double", *[(i, j, round(float(c[i, j]), 8) + 0.0) for i in range(64) for j in range(64)])
 
 
-@query("""WITH s AS (SELECT var_samp(embedding[1]::DOUBLE) AS a, var_samp(embedding[2]::DOUBLE) AS d, covar_samp(embedding[1]::DOUBLE, embedding[2]::DOUBLE) AS b FROM embeddings),
-e AS (SELECT (a + d) / 2 AS m, sqrt((a - d) * (a - d) / 4 + b * b) AS r FROM s) SELECT CAST(k AS INTEGER) AS component, round((m + (1 - 2 * k) * r) / (2 * m), 8) AS explained FROM e, range(2) t(k)""")
-def pca_explained_2d(spark, sf_dir):
-    m = pca.PCA(session(spark), 2).train(dataset(_coordinates(spark, sf_dir, 2)))
-    return rows(spark, "component int, explained double", *[(i, round(float(v), 8)) for i, v in enumerate(m.explained_variance)])
+@query(f"""WITH {_COVARIANCE}, t AS (SELECT sum(c) AS t FROM c WHERE i = j), q AS (SELECT a.i, b.j, sum(a.c * b.c) AS c FROM c a JOIN c b ON a.j = b.i GROUP BY a.i, b.j),
+p AS (SELECT 1 AS power, sum(c) AS s FROM c WHERE i = j UNION ALL SELECT 2, sum(c) FROM q WHERE i = j UNION ALL SELECT 3, sum(q.c * c.c) FROM q JOIN c ON q.j = c.i AND q.i = c.j)
+SELECT CAST(power AS INTEGER) AS power, round(s / t ** power, 8) AS total FROM p, t""")
+def pca_spectrum(spark, sf_dir):
+    """Sums of powers of all components' explained variances: traces of the covariance's powers, which SQL has, where it has no eigenvectors."""
+    explained = pca.PCA(session(spark), 64).train(dataset(_vectors(spark, sf_dir))).explained_variance
+    return rows(spark, "power int, total double", *[(k, round(float((explained**k).sum()), 8)) for k in (1, 2, 3)])
 
 
-@query("""SELECT vec_id, round(((0.0 + embedding[1]::DOUBLE * 0.6) + embedding[2]::DOUBLE * 0.8) + 0.0, 9) AS p0, round(((0.0 + embedding[1]::DOUBLE * -0.8) + embedding[2]::DOUBLE * 0.6) + 0.0, 9) AS p1 FROM embeddings""")
-def pca_project(spark, sf_dir):
-    m = pca.PCAModel(np.array([[0.6, -0.8], [0.8, 0.6]]), np.array([0.5, 0.5]))
-    out = m.transform(_coordinates(spark, sf_dir, 2))
-    return out.select("vec_id", *[F.round(F.get("projection", F.lit(k)) + 0.0, 9).alias(f"p{k}") for k in range(2)])
+_WAVES = 4
+_WAVE_SQL = ", ".join(f"round(list_sum(list_transform(range(64), lambda k: embedding[k + 1]::DOUBLE * sqrt(2 / 64) * cos(pi() * (k + 0.5) * {j + 1} / 64))), 8) + 0.0 AS p{j}" for j in range(_WAVES))
 
 
-@query()
-def pca_explained_whole(spark, sf_dir):
-    """Explained variance of all components of whole vectors; SQL has no eigenvectors."""
-    m = pca.PCA(session(spark), 64).train(dataset(_coordinates(spark, sf_dir, 64)))
-    return rows(spark, "component int, explained double", *[(i, float(v)) for i, v in enumerate(m.explained_variance)])
+@query(f"SELECT vec_id, {_WAVE_SQL} FROM embeddings")
+def pca_project(spark, sf_dir):
+    """Whole vectors on fixed orthonormal components, since trained ones have any sign."""
+    waves = np.sqrt(2 / 64) * np.cos(np.pi * (np.arange(64)[:, None] + 0.5) * (np.arange(_WAVES) + 1) / 64)
+    out = pca.PCAModel(waves, np.full(_WAVES, 1 / _WAVES)).transform(_vectors(spark, sf_dir))
+    return out.select("vec_id", *[(F.round(F.get("projection", F.lit(k)), 8) + 0.0).alias(f"p{k}") for k in range(_WAVES)])
 
 
 @query()
-def kmeans_lloyd2_whole(spark, sf_dir):
-    """Two of Lloyd's steps over whole vectors."""
-    s, points = session(spark), _coordinates(spark, sf_dir, 64)
-    c = np.array([r["features"] for r in points.where("vec_id < 3").orderBy("vec_id").collect()])
-    for _ in range(2):
-        c, _ = kmeans.lloyd_step(s, points.select("features"), c)
-    return rows(spark, "cluster int, centroid array<double>", *[(i, x.tolist()) for i, x in enumerate(c)])
+def pca_explained(spark, sf_dir):
+    """Explained variance of each component of whole vectors; SQL has no eigenvectors."""
+    m = pca.PCA(session(spark), 64).train(dataset(_vectors(spark, sf_dir)))
+    return rows(spark, "component int, explained double", *[(i, float(v)) for i, v in enumerate(m.explained_variance)])
 
 
 # --- trainers of Spark ML ---------------------------------------------------------------------------------------------
@@ -344,7 +321,8 @@ def gbt_predict(spark, sf_dir):
 
 @query()
 def lda_topics(spark, sf_dir):
-    data = _term_counts(spark, sf_dir).select(array_to_vector(as_array(_term_counts(spark, sf_dir))).alias("features"), F.col("doc_id").alias("docId"))
+    counts = _term_counts(spark, sf_dir)
+    data = counts.select(array_to_vector(as_array(counts)).alias("features"), F.col("doc_id").alias("docId"))
     return wrappers.LDA(session(spark), 3, max_iter=3).train(dataset(data)).describeTopics(4)
 
 
@@ -358,6 +336,15 @@ def enc_roundtrip(spark, sf_dir):
     return s.load_encrypted(path).data
 
 
+@query("SELECT l_orderkey, l_extendedprice FROM lineitem WHERE l_orderkey < 100")
+def enc_pruned_read(spark, sf_dir):
+    """Two columns and a filter over a table of sorted files: the scan reads only these columns and skips the row groups that the filter rules out."""
+    s, path = session(spark), shared_folder(spark)
+    s.save_encrypted(table(spark, sf_dir, "lineitem").sort("l_orderkey"), path)
+    wanted = StructType([StructField("l_orderkey", LongType()), StructField("l_extendedprice", DoubleType())])
+    return s.load_encrypted(path, wanted).data.where("l_orderkey < 100")
+
+
 @query("SELECT * FROM nation")
 def enc_plain_read(spark, sf_dir):
     return session(spark).load_encrypted(f"{sf_dir}/nation.parquet").data
@@ -379,7 +366,8 @@ def aes_roundtrip(spark, sf_dir):
     return sealed.select("doc_id", F.aes_decrypt("blob", key, F.lit("GCM"), F.lit("DEFAULT"), aad).cast("string").alias("text"))
 
 
-@query("SELECT * FROM (VALUES ('map of raw', false), ('shuffle of raw', false), ('union of statistic and raw', false), ('statistic', true), ('map of public', true)) t(name, allowed)")
+@query("""SELECT * FROM (VALUES ('map of raw', false), ('shuffle of raw', false), ('union of statistic and raw', false), ('statistic', true), ('map of public', true), ('raw put in place of a statistic', false),
+('undeclared join', false), ('undeclared subquery', false), ('sums, counts and moments', true), ('list of values', false), ('greatest name', false)) t(name, allowed)""")
 def audit_decisions(spark, sf_dir):
     auditor, raw = LeakageAuditor(), Frame(table(spark, sf_dir, "customer"))
     stat = auditor.register_statistic_exchange(raw.derive(lambda d: d.groupBy("c_nationkey").count(), "statistic"))
@@ -390,16 +378,27 @@ def audit_decisions(spark, sf_dir):
         "union of statistic and raw": stat.union(raw.derive(lambda d: d.select("c_nationkey", F.lit(1).cast("long").alias("count")))),
         "statistic": stat.derive(lambda d: d.select("count")),
         "map of public": public.derive(lambda d: d.select("n_name")),
+        "raw put in place of a statistic": stat.derive(lambda _: raw.df),
+        "undeclared join": public.derive(lambda d: d.join(raw.df, d.n_nationkey == raw.df.c_nationkey)),
+        "undeclared subquery": public.derive(lambda d: d.withColumn("x", raw.df.agg(F.max("c_name")).scalar())),
+    }
+    statistics = {
+        "sums, counts and moments": (F.sum("c_acctbal"), F.count(F.lit(1)), F.stddev("c_acctbal")),
+        "list of values": (F.collect_list("c_name"),),
+        "greatest name": (F.max("c_name"),),
     }
 
-    def allowed(frame):
+    def allowed(check):
         try:
-            auditor.check_untrusted(frame)
+            check()
         except LeakageError:
             return False
         return True
 
-    return rows(spark, "name string, allowed boolean", *[(n, allowed(f)) for n, f in cases.items()])
+    s = session(spark, Mode.SML2)
+    found = [(n, allowed(lambda f=f: auditor.check_untrusted(f))) for n, f in cases.items()]
+    found += [(n, allowed(lambda c=c: s.statistic_agg(raw, *c))) for n, c in statistics.items()]
+    return rows(spark, "name string, allowed boolean", *found)
 
 
 @query("SELECT * FROM (VALUES ('sml1', 'SML1'), (' SML-1 ', 'SML1'), ('Baseline', 'SML1'), ('SML2', 'SML2'), ('sml-2', 'SML2'), ('partitioned', 'SML2'), ('other', NULL)) t(text, mode)")

@@ -35,14 +35,14 @@ def test_query(spark, sf_dir, database, name):
 def test_whole_vectors(spark, sf_dir):
     x = np.array([r["embedding"] for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").orderBy("vec_id").collect()], float)
     values = np.linalg.eigvalsh(np.cov(x.T))[::-1]
-    got = [r["explained"] for r in own.QUERIES["pca_explained_whole"](spark, sf_dir).orderBy("component").collect()]
+    got = [r["explained"] for r in own.QUERIES["pca_explained"](spark, sf_dir).orderBy("component").collect()]
     assert got == pytest.approx((values / values.sum()).tolist(), abs=1e-9)
     c = x[:3]
     for _ in range(2):
         near = ((x[:, None] - c) ** 2).sum(2).argmin(1)
         c = np.array([x[near == k].mean(0) if (near == k).any() else c[k] for k in range(3)])
-    got = [r["centroid"] for r in own.QUERIES["kmeans_lloyd2_whole"](spark, sf_dir).orderBy("cluster").collect()]
-    assert np.allclose(got, c)
+    got = [r["value"] for r in own.QUERIES["kmeans_lloyd2"](spark, sf_dir).orderBy("cluster", "pos").collect()]
+    assert np.allclose(got, c.ravel(), atol=1e-6)
 
 
 def test_entry(spark, sf_dir):
