@@ -9,7 +9,8 @@ sequential best-fit decreasing, yet what the steps handle has a size that depend
 Only one pass handles rows: it ranks them within their length, in buckets of bounded size, and looks up their place.
 
 Defined results: a null or empty text is one piece that holds the end token alone; rows that repeat a doc_id are packed
-each (which of them takes which place is open); an empty table gives an empty table; other columns are ignored.
+each (which of them takes which place is open); a text of any length is encoded whole and cut into pieces; an empty table
+gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -240,16 +241,17 @@ def place(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     dealt = found.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.element_at(split, F.col("length").cast("int") + 1)).cast("int"))
     # One row for each length and RANKED_ROWS rows: capacity + rows / RANKED_ROWS of them.
     sizes = sorted((r["length"], r["bucket"], r["count"]) for r in dealt.groupBy("length", "bucket").count().collect())
-    before: dict[tuple[int, int], int] = {}
-    for i, (length, bucket, _) in enumerate(sizes):
-        before[length, bucket] = before[sizes[i - 1][:2]] + sizes[i - 1][2] if i and sizes[i - 1][0] == length else 0
+    counted = np.array(sizes, np.int64).reshape(-1, 3)
+    dealt_keys = counted[:, 0] << 32 | counted[:, 1]
+    total = np.cumsum(counted[:, 2]) - counted[:, 2]  # pieces of lesser lengths and buckets; less those of lesser lengths
+    before = total - total[np.searchsorted(counted[:, 0], counted[:, 0])]
     ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece")))
     names = [c for c in found.columns if c not in ("sequence_id", "offset")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length, bucket, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "bucket", "rank"))
-            rank = rank - 1 + np.array([before[x] for x in zip(length.tolist(), bucket.tolist(), strict=True)], np.int64)
+            rank = rank - 1 + before[np.searchsorted(dealt_keys, length << 32 | bucket)]
             row = steps[np.searchsorted(keys, length << 48 | rank, side="right") - 1]
             nth = rank - row[:, 1]
             columns = [batch.column(batch.schema.get_field_index(c)) for c in names]

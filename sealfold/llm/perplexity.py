@@ -9,8 +9,8 @@ weight falls smoothly as the language grows; a language without held-out trusted
 
 Defined results: a null or empty text is the end of text alone; a language (or null language) without trusted text is
 scored by the uniform model; without held-out trusted text at all everything is kept; labels of null or unknown documents
-are ignored, and of several labels for one id the least counts; rows that repeat an id are scored each; an empty table
-gives an empty table; other columns are ignored.
+are ignored, and of several labels for one id the least counts; rows that repeat an id are scored each; texts of any length are
+counted and scored whole; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -222,7 +222,7 @@ def held_out(doc_id):
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, lang, n_bytes, perplexity, low, high, kept for each document."""
+    """doc_id, lang, n_bytes, perplexity, low, high, kept, and counted (whether the model has the document's own counts) for each document."""
     good = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
     blocks = max(1, docs.select("doc_id").count() // BLOCK_ROWS)
     counts = materialize(counted(docs, good.where(~held_out(F.col("doc_id"))), blocks), "counts")
@@ -237,6 +237,8 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     each = held.groupBy(F.col("lang").alias("__l")).agg(marks, (F.count(F.lit(1)) / (F.count(F.lit(1)) + POOLED)).alias("share"))  # a row a language
     bound = lambda i: F.coalesce(F.lit(float(every[i])) + F.col("share") * (F.col("marks")[i] - F.lit(float(every[i]))), F.lit(float(every[i])))
     out = found.join(F.broadcast(each), F.col("__l").eqNullSafe(F.col("lang")), "left").withColumns({"low": bound(0), "high": bound(1)}).drop("__l", "marks", "share")
+    own_counts = good.where(~held_out(F.col("doc_id"))).withColumn("counted", F.lit(True))
+    out = out.join(own_counts, "doc_id", "left").withColumn("counted", F.coalesce("counted", F.lit(False)))
     return out.withColumn("kept", F.col("perplexity").between(F.col("low"), F.col("high")))
 
 

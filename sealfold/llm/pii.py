@@ -91,32 +91,39 @@ DIGIT_WORDS = {
     )
     for i, w in enumerate(words.split())
 } | {"oh": "0", "ein": "1"}
+#: What stands for an at sign or a dot in the four languages. Fixed values.
+AT_WORDS, DOT_WORDS = ("at", "arroba", "ät"), ("dot", "punkt", "punto", "point")
 _FORMS = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _GAP = r"[\s,-]{1,3}"
-#: Four spelled digits in a row are a number; fewer are prose.
-_SPELLED = re.compile(rf"\b(?:(plus)\s+)?((?:{_FORMS})(?:{_GAP}(?:(?:dot|point|punkt|punto)\s+)?(?:{_FORMS})){{3,}})\b", re.IGNORECASE)
-_SPELLED_PART = re.compile(rf"(?:{_FORMS})\b|dot|point|punkt|punto", re.IGNORECASE)
-_DOT = r"(?:\s{0,3}[\[({<]\s?(?:dot|\.)\s?[\])}>]\s{0,3}|\s{1,3}dot\s{1,3})"
+_ATS, _DOTS = "|".join(AT_WORDS), "|".join(DOT_WORDS)
+_RUN = rf"(?:{_FORMS})(?:{_GAP}(?:(?:{_DOTS})\s+)?(?:{_FORMS}))"
+#: Four spelled digits in a row are a number, or two of them next to figures; fewer are prose.
+_SPELLED = re.compile(rf"\b(?:(plus)\s+)?({_RUN}{{3,}})\b|(?<=[0-9][\s,-])()({_RUN}+)\b|\b()({_RUN}+)(?=[\s,-][0-9])", re.IGNORECASE)
+_SPELLED_PART = re.compile(rf"(?:{_FORMS})\b|{_DOTS}", re.IGNORECASE)
+_DOT = rf"(?:\s{{0,3}}[\[({{<]\s?(?:{_DOTS}|\.)\s?[\])}}>]\s{{0,3}}|\s{{1,3}}(?:{_DOTS})\s{{1,3}})"
 _DISGUISED_DOT = re.compile(rf"(?<=[A-Za-z0-9]){_DOT}(?=[A-Za-z0-9])", re.IGNORECASE)
-_DISGUISED_AT = re.compile(r"(?<=[A-Za-z0-9._%+-])\s{0,3}[\[({<]\s?(?:at|@)\s?[\])}>]\s{0,3}(?=[A-Za-z0-9])", re.IGNORECASE)
+_DISGUISED_AT = re.compile(r"(?<=[A-Za-z0-9._%+-])\s{0,3}[\[({<]\s?(?:at|arroba|ät|@)\s?[\])}>]\s{0,3}(?=[A-Za-z0-9])", re.IGNORECASE)
 #: A bare "at" is prose unless a domain with a disguised dot follows.
-_BARE_AT = re.compile(rf"(?<=[A-Za-z0-9._%+-])\s{{1,3}}at\s{{1,3}}(?=[A-Za-z0-9-]{{1,63}}{_DOT}[A-Za-z])", re.IGNORECASE)
+_BARE_AT = re.compile(rf"(?<=[A-Za-z0-9._%+-])\s{{1,3}}(?:{_ATS})\s{{1,3}}(?=[A-Za-z0-9-]{{1,63}}{_DOT}[A-Za-z])", re.IGNORECASE)
 _ODD = re.compile("[^\x00-\xff]|[\x85\xa0\xad\xb2\xb3\xb9]")
-_BRACKET = re.compile(r"[\[({<]\s?(?:at|dot|@|\.)\s?[\])}>]")
+_BRACKET = re.compile(rf"[\[({{<]\s?(?:{_ATS}|{_DOTS}|@|\.)\s?[\])}}>]")
+#: A bare dot word matters behind a bare at word alone; prose is full of the one, and lacks the other.
+_BARE = re.compile(rf"\s(?:{_ATS})\s{{1,3}}[a-z0-9-]{{1,63}}\s{{1,3}}(?:{_DOTS})\s")
 _BETWEEN = np.zeros(256, bool)
 _BETWEEN[[*range(9, 14), *range(28, 33), ord(","), ord("-")]] = True
-_HINT_WORDS = [*DIGIT_WORDS, "dot", "point", "punkt", "punto"]
+_HINT_WORDS = [*DIGIT_WORDS, *DOT_WORDS]
 
 
 def may_be_disguised(found: list[str]) -> list[bool]:
     """Whether each text may hold what a transducer rewrites; what this rules out, none of them would touch."""
     low = [t.lower() for t in found]
-    out = [bool("dot" in t or _BRACKET.search(t) or _ODD.search(t)) for t in low]
+    # What looks odd is looked for in the text as it is: some odd letters have a plain lower case.
+    out = [bool("dot" in t or _BRACKET.search(t) or _ODD.search(own) or _BARE.search(t)) for own, t in zip(found, low, strict=True)]
     known = wordhash.words([w.encode() for w in _HINT_WORDS])[0]
     for first, part in wordhash.chunks([t.encode() for t in low]):
         h, doc = wordhash.words(part, space=_BETWEEN)
         hit = np.isin(h, known)
-        # Four spelled digits in a row, the inner two between gaps: two words of a number side by side.
+        # Spelled digits in a row: two words of a number side by side.
         for i in np.unique(doc[1:][hit[1:] & hit[:-1] & (doc[1:] == doc[:-1])]):
             out[first + i] = True
     return out
@@ -171,7 +178,8 @@ def homoglyphs(tape: Tape) -> None:
 def spelled_digits(tape: Tape) -> None:
     edits = []
     for m in _SPELLED.finditer(tape.text):
-        parts = list(_SPELLED_PART.finditer(tape.text, m.start(2), m.end(2)))
+        run = next(i for i in (2, 4, 6) if m[i] is not None)
+        parts = list(_SPELLED_PART.finditer(tape.text, m.start(run), m.end(run)))
         if m[1]:
             edits.append((m.start(1), parts[0].start(), "+"))
         for p, after in zip(parts, [*parts[1:], None], strict=True):

@@ -7,7 +7,7 @@ text answers every truncation and budget question about it without encoding agai
 own pattern first; the dynamic programme runs over each distinct piece and its result is kept for the next occurrence.
 
 Defined results: a null text counts as empty and has 0 tokens; rows are independent, so ties, repeated rows and
-other columns don't matter; an empty table gives an empty table.
+other columns don't matter; texts of any length are counted whole; an empty table gives an empty table.
 """
 
 from __future__ import annotations

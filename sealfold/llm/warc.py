@@ -2,18 +2,21 @@
 
 Pages become WARC/1.0 resource records; records of one archive file stand in the order of their ids, and their offsets
 follow from their lengths. A leaf hashes a record's offset, length and digest; a node hashes its at most 16 children in
-order; above the files' trees the same goes on to one root. An audit compares roots and descends, level by level, only
-into branches whose hashes differ, so what it reads of the lower levels depends on the damage and not on the archive.
+order; above the files' trees the same goes on to one root. Both replicas' trees are built side by side, by the same numbers
+of records and files, so they have one shape whatever either lacks; a branch that one of them lacks differs. An audit compares
+roots and descends, level by level, only into branches whose hashes differ, so what it reads of the lower levels depends on the
+damage and not on the archive.
 Leaves of a stored replica are hashed from its bytes, by the ranges of the archive's index; archive files are rows of a
 table (file, content) in the shared folder.
 
-Defined results: a null url or html counts as empty; a null id goes to a file of its own, first; records that repeat an id
-stand in the order of their digests; a record that only one replica has is missing or extra in the other (what follows it in
+Defined results: a null url or html counts as empty; null ids go to files of their own, as many as they need, first; records
+that repeat an id stand in one file, in the order of their digests; pages of any length are one record; a record that only one replica has is missing or extra in the other (what follows it in
 its file has moved, so it is damaged too); an empty table gives an empty archive without a root; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 
@@ -37,14 +40,21 @@ def record(page_id: Column, url: Column, html: Column) -> Column:
     return F.concat(F.concat_ws("\r\n", *lines), F.lit(_END), html, F.lit(_END))
 
 
+#: Files of pages without an id have the numbers from here on.
+NO_ID = -(2**62)
+
+
 def records(pages: DataFrame, file_records: int = FILE_RECORDS) -> DataFrame:
     """page_id, file, n (place in the file), offset, length, record_sha256 and record of all pages."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     page_id = F.col("page_id").cast("long")
-    rows = pages.select(page_id.alias("page_id"), F.coalesce(F.floor(page_id / file_records), F.lit(-(2**62))).cast("long").alias("file"), text("url").alias("url"), text("html").alias("html"))
-    rows = rows.select("page_id", "file", record(F.col("page_id"), F.col("url"), F.col("html")).alias("record"))
+    spread = max(1, -(-pages.where(page_id.isNull()).count() // file_records))
+    rows = pages.select(page_id.alias("page_id"), text("url").alias("url"), text("html").alias("html"))
+    rows = rows.select("page_id", record(F.col("page_id"), F.col("url"), F.col("html")).alias("record"))
     # Ordered by digest, not by content: where only the index is wanted, no content is shuffled.
     rows = rows.withColumns({"length": F.octet_length("record").cast("long"), "record_sha256": F.sha2(F.col("record").cast("binary"), 256)})
+    without = F.lit(NO_ID) + F.pmod(F.xxhash64("record_sha256"), F.lit(spread))
+    rows = rows.withColumn("file", F.coalesce(F.floor(F.col("page_id") / file_records), without).cast("long"))
     order = Window.partitionBy("file").orderBy("page_id", "record_sha256")
     rows = rows.withColumn("n", F.row_number().over(order).cast("long") - 1)
     before = F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
@@ -105,58 +115,60 @@ def leaves(found: DataFrame) -> DataFrame:
     return found.select("file", F.col("n").alias("node"), F.sha2(data.cast("binary"), 256).alias("hash"))
 
 
-def _above(nodes: DataFrame, key: list[str], at: str) -> DataFrame:
-    """The nodes above: each hashes its at most FAN_OUT children in order."""
+def _above(nodes: DataFrame, at: str) -> DataFrame:
+    """The nodes above, numbered by ``at``: each hashes its at most FAN_OUT children in order."""
+    key = [c for c in nodes.columns if c not in (at, "hash")]
     children = F.sort_array(F.collect_list(F.struct(at, "hash")))
     hashed = F.sha2(F.concat(F.lit("node:"), F.array_join(F.transform("children", lambda x: F.concat(x[at].cast("string"), F.lit("="), x["hash"])), ",")).cast("binary"), 256)
-    return nodes.withColumn("up", F.floor(F.col(at) / FAN_OUT)).groupBy(*[k for k in key if k != at], "up").agg(children.alias("children")).select(*[k for k in key if k != at], F.col("up").alias(at), hashed.alias("hash"))
+    return nodes.withColumn("up", F.floor(F.col(at) / FAN_OUT)).groupBy(*key, "up").agg(children.alias("children")).select(*key, F.col("up").alias(at), hashed.alias("hash"))
+
 
+def trees(replicas: list[DataFrame]) -> tuple[list[DataFrame], Column]:
+    """(The levels of the replicas' trees, leaves first, each stored: replica, file, node (within a file) and hash, the last one with the roots; a file's own number).
 
-def tree(found: DataFrame) -> list[DataFrame]:
-    """The levels of an archive's tree, leaves first, each stored; the last one has the root."""
-    levels = [materialize(leaves(found), "leaves")]
-    top = levels[0].agg(F.max("node")).first()[0]
+    Above the files' roots, files are numbered from the least of all replicas on, those without ids before them; every level has both replicas' nodes.
+    """
+    found = [leaves(r).withColumn("replica", F.lit(i)) for i, r in enumerate(replicas)]
+    levels = [materialize(functools.reduce(DataFrame.unionByName, found).select("replica", "file", "node", "hash"), "leaves")]
+    numbered = F.col("file") > NO_ID // 2
+    low, high, spare, top = levels[0].agg(F.min(F.when(numbered, F.col("file"))), F.max(F.when(numbered, F.col("file"))), F.max(F.when(~numbered, F.col("file") - NO_ID + 1)), F.max("node")).first()
     if top is None:
-        return levels
+        return levels, F.col("file")
+    low, high, spare = low or 0, high or low or 0, spare or 0
     while top:
-        levels.append(materialize(_above(levels[-1], ["file", "node"], "node"), "nodes"))
+        levels.append(materialize(_above(levels[-1], "node"), "nodes"))
         top //= FAN_OUT
-    # Files' roots are numbered by their ids, shifted to begin at 0; every further level covers FAN_OUT times as many.
-    low, high = levels[-1].where("file > -4611686018427387904").agg(F.min("file"), F.max("file")).first()
-    low, high = low or 0, high or 0
-    place = F.when(F.col("file") > -(2**62), F.col("file") - low + 1).otherwise(0)
-    levels.append(levels[-1].select(place.cast("long").alias("file"), "hash"))
-    span = high - low + 1
+    place = F.when(numbered, F.col("file") - low + spare).otherwise(F.col("file") - NO_ID)
+    levels.append(levels[-1].select("replica", place.cast("long").alias("file"), "hash"))
+    span = high - low + spare
     while span:
-        levels.append(materialize(_above(levels[-1], ["file"], "file"), "nodes"))
+        levels.append(materialize(_above(levels[-1], "file"), "nodes"))
         span //= FAN_OUT
-    return levels
+    return levels, F.when(F.col("file") >= spare, F.col("file") + low - spare).otherwise(F.col("file") + NO_ID).cast("long")
+
+
+def _children(at: str):
+    return F.explode(F.sequence(F.col(at) * FAN_OUT, F.col(at) * FAN_OUT + FAN_OUT - 1))
 
 
 def audit(one: DataFrame, other: DataFrame) -> DataFrame:
     """file, n, status of the records (see records()) that differ: changed, missing (in the other) or extra (there)."""
-    a, b = tree(one), tree(other)
-    suspects = None  # trees of other shapes have nothing to compare but their leaves
-    if len(a) == len(b) and len(a) > 1:
-        low = a[0].where("file > -4611686018427387904").agg(F.min("file")).first()[0] or 0
-        heights = [("file", "node") if "node" in x.columns else ("file",) for x in a]
-        shapes = low == (b[0].where("file > -4611686018427387904").agg(F.min("file")).first()[0] or 0)
-        for level in range(len(a) - 1, 0, -1) if shapes else ():
-            keys = list(heights[level])
-            left, right = (x[level] if suspects is None else x[level].join(suspects, keys, "left_semi") for x in (a, b))
-            differ = left.withColumnRenamed("hash", "ha").join(right.withColumnRenamed("hash", "hb"), keys, "full").where("not (ha <=> hb)").select(*keys)
-            below = heights[level - 1]
-            if "node" in below:
-                if "node" in keys:
-                    suspects = differ.select("file", F.explode(F.sequence(F.col("node") * FAN_OUT, F.col("node") * FAN_OUT + FAN_OUT - 1)).alias("node"))
-                else:
-                    file = F.when(F.col("file") == 0, F.lit(-(2**62))).otherwise(F.col("file") + low - 1)
-                    suspects = differ.select(file.cast("long").alias("file"), F.lit(0).cast("long").alias("node"))
-            else:
-                suspects = differ.select(F.explode(F.sequence(F.col("file") * FAN_OUT, F.col("file") * FAN_OUT + FAN_OUT - 1)).alias("file"))
-            suspects = materialize(suspects, "suspects")
-    left, right = (x[0] if suspects is None else x[0].join(suspects, ["file", "node"], "left_semi") for x in (a, b))
-    both = left.withColumnRenamed("hash", "ha").join(right.withColumnRenamed("hash", "hb"), ["file", "node"], "full").where("not (ha <=> hb)")
+    levels, file_of = trees([one, other])
+    side = lambda i: F.max(F.when(F.col("replica") == i, F.col("hash")))
+    suspects = None
+    for i in range(len(levels) - 1, -1, -1):
+        level = levels[i]
+        keys = [c for c in ("file", "node") if c in level.columns]
+        both = (level if suspects is None else level.join(suspects, keys, "left_semi")).groupBy(*keys).agg(side(0).alias("ha"), side(1).alias("hb")).where("not (ha <=> hb)")
+        if not i:
+            break
+        if "node" in keys:
+            suspects = both.select("file", _children("node").alias("node"))
+        elif "node" in levels[i - 1].columns:  # the files' own roots, which stand in the level below under the files' own numbers
+            suspects = both.select(file_of.alias("file"), F.lit(0).cast("long").alias("node"))
+        else:
+            suspects = both.select(_children("file").alias("file"))
+        suspects = materialize(suspects, "suspects")
     status = F.when(F.col("hb").isNull(), "missing").when(F.col("ha").isNull(), "extra").otherwise("changed")
     return both.select("file", F.col("node").alias("n"), status.alias("status"))
 

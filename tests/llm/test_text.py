@@ -86,6 +86,10 @@ def test_base_spans_are_those_of_the_patterns(text):
         ("card ４１１１ 1111 1111 1111!", "card", "４１１１ 1111 1111 1111"),
         ("host one nine two dot one six eight dot one dot one", "ip", "one nine two dot one six eight dot one dot one"),
         ("＋1 (988) 555‑2485", "phone", "＋1 (988) 555‑2485"),
+        ("an jose [arroba] ejemplo [punto] com si", "email", "jose [arroba] ejemplo [punto] com"),
+        ("an hans at beispiel punkt de mit", "email", "hans at beispiel punkt de"),
+        ("ring +49 one five one 2345678 up", "phone", "+49 one five one 2345678"),
+        ("to joe@ban\u212a.com then", "email", "joe@ban\u212a.com"),
         ("ruf null eins sieben plus vier neun eins sieben null eins zwei drei vier fünf an", "phone", "plus vier neun eins sieben null eins zwei drei vier fünf"),
     ],
 )
@@ -96,7 +100,7 @@ def test_disguises_are_mapped_back(text, kind, part):
     assert pii.may_be_disguised([text, "plain prose at home"]) == [True, False]
 
 
-@pytest.mark.parametrize("text", ["look at example.com dot", "one two three", "a dot b", "meet me at nine", "point one two", "«a»", "1 2 3"])
+@pytest.mark.parametrize("text", ["look at example.com dot", "one two three", "a dot b", "un punto de vista", "on two three occasions", "der punkt am ende", "at this point in time", "meet me at nine", "point one two", "«a»", "1 2 3"])
 def test_prose_is_left_alone(text):
     assert pii.spans(text)[1] == []
 
@@ -401,10 +405,40 @@ def test_audit_of_stored_bytes(spark):
     cut = whole | {1: whole[1][: at[1, 30][0] + 3], 2: whole[2] + b"more"}
     assert bad(cut) == {(1, 30, "changed"), (1, 31, "missing"), (2, 26, "extra")}
     assert bad({k: v for k, v in whole.items() if k != 2}) == {(2, i, "missing") for i in range(26)}
+    assert bad({k: v for k, v in whole.items() if k}) == {(0, i, "missing") for i in range(32)}  # the first file
     rotten = warc.rotten(warc.archive(found), found)
     assert {(r["file"], r["n"]) for r in warc.audit(one, warc.stored(rotten, found)).collect()} == {(0, 5)}
 
 
+def test_audit_reads_only_damaged_branches(spark, monkeypatch):
+    """A replica that lost its first file: below the root, only that file's branch is looked at."""
+    one = warc.records(pages(spark), 4).drop("record").cache()
+    read, original = [], warc.materialize
+
+    def watched(df, name, *rest):
+        out = original(df, name, *rest)
+        if name == "suspects":
+            read.append(out.columns + [out.count()])
+        return out
+
+    monkeypatch.setattr(warc, "materialize", watched)
+    found = {(r["file"], r["n"], r["status"]) for r in warc.audit(one, one.where("file > 0")).collect()}
+    assert found == {(0, i, "missing") for i in range(4)}
+    assert read == [["file", 16], ["file", 16], ["file", "node", 1], ["file", "node", 16]] or read[-2:] == [["file", "node", 1], ["file", "node", 16]]
+
+
+def test_pages_without_ids_fill_files_of_bounded_size(spark):
+    p = spark.range(300).selectExpr("cast(if(id % 3 = 0, id, null) AS long) AS page_id", "cast(id AS string) AS url", "repeat('x', cast(id AS int)) AS html", "id AS file", "'clash' AS n", "1 AS offset")
+    one = warc.records(p, 32).cache()
+    sizes = {r["file"]: r["count"] for r in one.groupBy("file").count().collect()}
+    assert sum(n for f, n in sizes.items() if f < 0) == 200 and max(sizes.values()) < 64 and sum(f < 0 for f in sizes) == 7
+    assert warc.audit(one, one).count() == 0
+    assert {(r["file"] < 0, r["status"]) for r in warc.audit(one, one.where("not (file < 0 and n = 3)")).collect()} == {(True, "missing")}
+    long = spark.createDataFrame([(1, "u", "y" * 3_000_000), (2, "u", "z")], "page_id long, url string, html string")
+    back = {r["offset"]: len(r["body"]) for r in warc.read(warc.archive(warc.records(long))).collect()}
+    assert sorted(back.values()) == [1, 3_000_000]
+
+
 def test_empty_archive(spark):
     none = warc.records(pages(spark).limit(0))
     assert warc.audit(none, none).count() == 0 and warc.archive(none).count() == 0
