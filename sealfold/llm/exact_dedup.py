@@ -12,8 +12,6 @@ columns are carried, whatever their names.
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,13 +65,11 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     discard(base, table.words)
     probed = bloom(groups, "h", groups.count()).maybe(rows, "h")
     single = probed.where("not maybe").select("row")
-    # One row of a group stays, so rows join its winner by digest and id: no key is hot but by rows that repeat an id.
-    on = (F.col("d.h") == F.col("g.h")) & F.col("d.doc_id").eqNullSafe(F.col("g.doc_id"))
-    maybe = probed.where("maybe")
-    winners = maybe.alias("d").join(groups.alias("g"), on).select("d.row", "d.h", "g.n_top")
-    again = winners.where("n_top > 1").dropDuplicates(["h"])
-    alone = maybe.join(groups.select("h"), "h", "left_anti")  # the table's false positives
-    return functools.reduce(DataFrame.unionByName, [x.select("row") for x in (single, winners.where("n_top = 1"), again, alone)]).select("row.*")
+    # Both sides are plain exchanges, so adaptive execution splits the rows of a hot group. What has no group is a false positive.
+    known = groups.select("h", F.col("doc_id").alias("keep_id"), "n_top")
+    stay = probed.where("maybe").join(known, "h", "left").where(F.col("n_top").isNull() | F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    again = F.coalesce(F.col("n_top") > 1, F.lit(False))
+    return single.unionByName(stay.where(~again).select("row")).unionByName(stay.where(again).dropDuplicates(["h"]).select("row")).select("row.*")
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,12 +3,13 @@
 Words are runs of letters and digits, lower-cased. A word's embedding is the sum of those of two hash buckets, its own and
 that of its first letters, so that rare forms of a word are known by their stem. Filters over one, two and three
 words are pooled by their maximum over the whole text, so a text of any length gives the same few values; a logistic layer
-turns them into a score. Training sees a bounded sample of labelled rows; thresholds by language are calibrated on the
-scores of all labelled rows of the training folds.
+turns them into a score. Training sees a bounded sample of the labelled rows of three folds; thresholds by language are
+calibrated on the scores of all labelled rows of a fourth, which the model has not seen, and the fifth is held out.
 
 Defined results: a null or empty text has the score of no words; rows are scored independently, so ties, repeated rows
 and other columns don't matter; labels of null or of unknown documents are ignored; without labels of both kinds every
-score is 0; a language without labels has the threshold of all languages together; an empty table gives an empty table.
+score is 0; a language without labels has the threshold of all languages together; texts of any length are scored whole; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ BUCKETS, DIM, WIDTHS, FILTERS = 2**17, 8, (1, 2, 3), 16
 HEAD = 5
 #: The most labelled rows of either kind that training uses, picked by a hash of their id.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 4000, 8000
+#: The most words of a row that training uses; longer texts are scored like all others, but teach nothing.
+SAMPLE_WORDS = 20_000
 EPOCHS, BATCH, RATE, SEED = 4, 32, 0.3, 7
 #: The share of clean labelled rows of a language that its threshold may reject.
 FALSE_ALARMS = 0.002
@@ -150,13 +153,21 @@ def train(docs: list[np.ndarray], labels: np.ndarray, prior: float) -> Model:
     return model
 
 
+#: The folds whose labels are never learnt from, and those that set thresholds; the others train.
+HELD_OUT, CALIBRATION = 0, 1
+
+
+def fold(doc_id):
+    return F.crc32(doc_id.cast("string").cast("binary")) % 5
+
+
 def held_out(doc_id):
     """The fifth of the documents whose labels are never learnt from."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+    return fold(doc_id) == HELD_OUT
 
 
 def usable_labels(labels: DataFrame) -> DataFrame:
-    """doc_id and toxic (0 or 1), one row a document, of the training folds."""
+    """doc_id and toxic (0 or 1), one row a document, of all folds but the one held out."""
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     return rows.where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
 
@@ -164,7 +175,7 @@ def usable_labels(labels: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     """A model of a bounded sample of labelled rows; None without labels of both kinds."""
     bounded_batches(docs.sparkSession)
-    known = usable_labels(labels)
+    known = usable_labels(labels).where(fold(F.col("doc_id")) != CALIBRATION)
     totals = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     if len(totals) < 2:
         return None
@@ -176,7 +187,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
         for part, found in texts(batches):
             ids, at = word_ids([t.encode() for t in found])
             words = pa.array([ids[s:e].tobytes() for s, e in zip(at[:-1], at[1:], strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in ("doc_id", "toxic")] + [words], ["doc_id", "toxic", "words"])
+            short = pa.array(np.diff(at) <= SAMPLE_WORDS)
+            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)).filter(short) for c in ("doc_id", "toxic")] + [words.filter(short)], ["doc_id", "toxic", "words"])
 
     prior = totals[1] / (totals[0] + totals[1])
 
@@ -214,7 +226,8 @@ def thresholds(scores: DataFrame, labels: DataFrame) -> dict[str | None, float]:
     It is the least of the thousandths above 0 at which at most FALSE_ALARMS of the clean labelled rows are rejected, yet
     no more than 1. Only counts by language and thousandth are gathered.
     """
-    bins = scores.join(usable_labels(labels), "doc_id").where("toxic = 0").groupBy("lang", F.floor(F.col("score") * 1000).cast("int").alias("bin")).count()
+    calibrated = usable_labels(labels).where(fold(F.col("doc_id")) == CALIBRATION)
+    bins = scores.join(calibrated, "doc_id").where("toxic = 0").groupBy("lang", F.floor(F.col("score") * 1000).cast("int").alias("bin")).count()
     both = bins.select("lang", "bin", "count", F.lit(False).alias("total")).union(bins.select(F.lit(None).cast("string"), "bin", "count", F.lit(True)))
     both = both.groupBy("lang", "total", "bin").agg(F.sum("count").alias("count"))
     down = Window.partitionBy("lang", "total").orderBy(F.desc("bin"))
