@@ -87,11 +87,12 @@ class Model:
     def logits(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         if not len(ids):
             return np.zeros(len(at) - 1, np.float32)
-        pooled = np.maximum(np.maximum.reduceat(self.windows(ids) @ self.filters, at[:-1]) + self.filter_bias, 0)
+        pooled = np.maximum(np.maximum.reduceat(self.windows(ids).astype(np.float64) @ self.filters, at[:-1]) + self.filter_bias, 0)
         return pooled @ self.out + self.out_bias
 
     def scores(self, found: list[bytes]) -> np.ndarray:
-        return (1 / (1 + np.exp(-self.logits(*word_ids(found)).astype(np.float64)))).clip(0, 1)
+        """A score for each text. Sums in double precision and rounded: a product's last digits depend on what other texts stand beside."""
+        return (1 / (1 + np.exp(-self.logits(*word_ids(found)).astype(np.float64)))).clip(0, 1).round(9)
 
 
 def surprise(docs: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
