@@ -80,14 +80,22 @@ class Model:
         """Where filters of a width have weights."""
         return np.concatenate([np.repeat(np.arange(_WIDE) < w, DIM)[:, None].repeat(FILTERS, 1) for w in WIDTHS], axis=1).astype(np.float32)
 
-    def windows(self, ids: np.ndarray) -> np.ndarray:
+    @staticmethod
+    def begins(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Where a window may begin: at words, not in the padding behind a text, from which it would reach into the next text."""
+        own = np.ones(len(ids), bool)
+        for k in range(1, _WIDE):
+            own[at[1:] - k] = False
+        return own
+
+    def windows(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         padded = np.concatenate([self.words[ids[:, 0]] + self.words[ids[:, 1]], np.zeros((_WIDE - 1, DIM), np.float32)])
-        return np.concatenate([padded[k : k + len(ids)] for k in range(_WIDE)], axis=1)
+        return np.concatenate([padded[k : k + len(ids)] for k in range(_WIDE)], axis=1) * self.begins(ids, at)[:, None]
 
     def logits(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         if not len(ids):
             return np.zeros(len(at) - 1, np.float32)
-        pooled = np.maximum(np.maximum.reduceat(self.windows(ids).astype(np.float64) @ self.filters, at[:-1]) + self.filter_bias, 0)
+        pooled = np.maximum(np.maximum.reduceat(self.windows(ids, at).astype(np.float64) @ self.filters, at[:-1]) + self.filter_bias, 0)
         return pooled @ self.out + self.out_bias
 
     def scores(self, found: list[bytes]) -> np.ndarray:
@@ -126,7 +134,7 @@ def train(docs: list[np.ndarray], labels: np.ndarray, prior: float) -> Model:
             at = np.concatenate([[0], np.cumsum([len(docs[i]) for i in pick])])
             drop = rng.random(len(ids)) < 0.1  # dropped words keep a text from being told by one of them
             ids = np.where(drop[:, None], BUCKETS, ids)
-            windows = model.windows(ids)
+            windows, begins = model.windows(ids, at), model.begins(ids, at)
             conv = windows @ model.filters
             peak = np.stack([conv[s:e].argmax(0) + s for s, e in zip(at[:-1], at[1:], strict=True)])
             raw = np.take_along_axis(conv, peak, 0) + model.filter_bias
@@ -136,7 +144,7 @@ def train(docs: list[np.ndarray], labels: np.ndarray, prior: float) -> Model:
             back = error[:, None] * model.out * (raw > 0)
             seen = windows[peak]
             grads = [None, np.einsum("bf,bfk->kf", back, seen) * mask, back.sum(0), pooled.T @ error + 1e-4 * model.out]
-            to_words = (back[:, :, None] * model.filters.T).reshape(-1, DIM)
+            to_words = (back[:, :, None] * model.filters.T * begins[peak][:, :, None]).reshape(-1, DIM)
             touched = np.minimum(peak[:, :, None] + np.arange(_WIDE), len(ids) - 1)
             rows, where = np.unique(ids[touched.ravel()], return_inverse=True)
             grad = np.zeros((len(rows), DIM), np.float32)

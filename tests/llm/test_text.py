@@ -353,6 +353,11 @@ def test_scores_look_at_text_alone(spark):
     m = toxicity.fit(d, labels)
     one = m.scores([b"w1 vile w2", b"", b"w1 vile w2", ("w3 " * 50_000).encode()])
     assert one[0] == one[2] and np.isfinite(one).all()
+    # Neither a text's place nor its neighbours matter, however toxic they are.
+    rng = random.Random(2)
+    found = [" ".join(rng.choice(["vile", "w1", "w2", "w3"]) for _ in range(rng.randint(0, 60))).encode() for _ in range(200)] + [b"", b"vile vile"]
+    assert m.scores(found).tolist() == [float(m.scores([t])[0]) for t in found]
+    assert m.scores([b"w1 w2", b"vile vile"])[0] == m.scores([b"w1 w2", b"w1"])[0]
 
 
 # --- archives --------------------------------------------------------------------------------------------------------
