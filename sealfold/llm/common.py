@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 import os
@@ -39,9 +40,25 @@ def materialize(df: DataFrame, name: str = "step", by: str | None = None) -> Dat
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     stored = df.sparkSession.read.schema(df.schema).parquet(path)
     stored._stored_at = path
+    for made in _collected:
+        made.append(stored)
     return stored
 
 
+_collected: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def leftovers() -> Iterator[list[DataFrame]]:
+    """The tables that materialize() writes meanwhile, for the caller to discard once what it wanted of them is stored."""
+    made: list[DataFrame] = []
+    _collected.append(made)
+    try:
+        yield made
+    finally:
+        _collected[:] = [x for x in _collected if x is not made]
+
+
 def discard(*stored: DataFrame) -> None:
     """Delete tables that materialize() wrote and nothing reads any more: what followed from them is stored itself."""
     for df in stored:

@@ -51,3 +51,37 @@ def test_same_dedup_either_way(spark, sf_dir):
     docs = documents(spark, sf_dir)
     kept = {r["doc_id"] for r in exact_dedup.group_rows(docs).where("kept").collect()}
     assert kept == {r["doc_id"] for r in exact_dedup.deduplicate(docs).collect()}
+
+
+def test_awkward_rows(spark, sf_dir, tmp_path):
+    """Nulls in every column, empty and very long texts, ties, repeated rows and columns with the operators' own names."""
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [
+        (1, "one text of some words in a row", "en"), (1, "one text of some words in a row", "en"), (2, "ONE text of some words in a row", None), (3, None, "en"), (4, "", "xx"), (5, None, None),
+        (None, "no id at all but some words", "en"), (None, None, None), (7, long, "en"), (8, long + " more", "en"), (9, "call +1 988 555 2485 or mail a@b.cd", "en"),
+    ]
+    clash = ["row", "score", "h", "maybe", "b", "key", "rep", "__shard", "bits", "piece", "length"]
+    docs = spark.createDataFrame([(*r, "src", None, *["x"] * len(clash)) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in clash))
+    kept = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, sf_dir)
+        assert kept.dtypes == docs.dtypes
+        kept = spark.createDataFrame(kept.collect(), docs.schema)
+    left = {r["doc_id"]: r["text"] for r in kept.collect()}
+    assert kept.count() == len(left) == 5 and set(left) == {2, 5, None, 7, 9}
+    assert left[5] is None and left[7] == long and left[9] == "call <PHONE> or mail <EMAIL>" and left[None] == "no id at all but some words"
+    placed = corpus_pipeline.STAGES[-1][1](spark, kept, sf_dir).collect()
+    assert {r["doc_id"] for r in placed} == set(left) and sum(r["length"] for r in placed if r["doc_id"] == 5) == 1
+    empty = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, sf_dir).count() == 0
+
+
+def test_run_leaves_only_what_its_result_reads(spark, sf_dir, tmp_path):
+    before = spark.conf.get("spark.checkpoint.dir", None)
+    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
+    try:
+        out = corpus_pipeline.run(spark, sf_dir)
+        assert out.count() and sorted(p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()) == ["personal-data", "pieces"]
+    finally:
+        spark.conf.unset("spark.checkpoint.dir") if before is None else spark.conf.set("spark.checkpoint.dir", before)
