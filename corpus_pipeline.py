@@ -1,7 +1,15 @@
 """A training corpus from raw documents, in five stages; each works on all that the stage before it kept.
 
 Toxic documents go, of equal and of nearly equal texts one document stays, personal data is replaced, and what remains is
-packed into sequences. Every stage's result is a table of files, so a lost executor costs the tasks it ran and no more.
+packed into sequences. Every stage's result is a table of files, so a lost executor costs the tasks it ran and no more; what
+a stage stored on its way is deleted once its result is there.
+
+Defined results: a null text counts as empty (one document without text stays of all, and takes part in packing as one end
+token); it stays null until then. A null id is a document like others where texts are compared, but is linked with nothing
+as a near-duplicate; rows that repeat id and text leave one row. Of equal texts the largest id stays, of linked ones the
+least. A null or unknown language has the threshold of all languages together. Labels of null or unknown documents are
+ignored; without labels of both kinds no document is toxic. Texts of any length are handled whole. An empty table gives an
+empty table, and further columns, whatever their names, are carried up to packing.
 """
 
 from __future__ import annotations
@@ -9,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sealfold.llm import exact_dedup, minhash, packing, pii, toxicity
-from sealfold.llm.common import bounded_batches, documents, materialize
+from sealfold.llm.common import bounded_batches, discard, documents, leftovers, materialize
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +61,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), []
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with leftovers() as made:
+            result = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(*before, *[table for table in made if table is not result])
+        docs, before = result, [result]
     return STAGES[-1][1](spark, docs, sf_dir)
