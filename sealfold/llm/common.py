@@ -28,10 +28,10 @@ def shared_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    os.makedirs("/tmp/checkpoints", exist_ok=True)
-    path = "file://" + tempfile.mkdtemp(dir="/tmp/checkpoints")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    if not spark.sparkContext.getCheckpointDir():  # the setting itself can't be changed once Spark runs
+        os.makedirs("/tmp/checkpoints", exist_ok=True)
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(dir="/tmp/checkpoints"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def materialize(df: DataFrame, name: str = "step", by: str | None = None) -> DataFrame:

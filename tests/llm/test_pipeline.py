@@ -2,8 +2,10 @@
 
 from collections import Counter
 
+import pytest
+
 import corpus_pipeline
-from sealfold.llm import exact_dedup, pii, registry
+from sealfold.llm import common, exact_dedup, pii, registry
 from sealfold.llm.common import documents
 
 from .test_bulk import FOLD, brute_components
@@ -77,11 +79,31 @@ def test_awkward_rows(spark, sf_dir, tmp_path):
         assert stage(spark, empty, sf_dir).count() == 0
 
 
-def test_run_leaves_only_what_its_result_reads(spark, sf_dir, tmp_path):
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
-        out = corpus_pipeline.run(spark, sf_dir)
-        assert out.count() and sorted(p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()) == ["personal-data", "pieces"]
-    finally:
-        spark.conf.unset("spark.checkpoint.dir") if before is None else spark.conf.set("spark.checkpoint.dir", before)
+def test_run_leaves_only_what_its_result_reads(spark, sf_dir, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
+    out = corpus_pipeline.run(spark, sf_dir)
+    assert out.count() and sorted(p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()) == ["personal-data", "pieces"]
+
+
+class _Session:
+    """As much of a session as shared_dir() asks: a setting that can't be changed, and a context."""
+
+    def __init__(self, master, folder=None):
+        self.sparkContext, self.conf, self.master, self.folder, self.made = self, self, master, folder, None
+
+    def get(self, key, default=None):
+        return self.folder if key == "spark.checkpoint.dir" else default
+
+    def setCheckpointDir(self, path):
+        self.made = path + "/own"
+
+    def getCheckpointDir(self):
+        return self.made
+
+
+def test_shared_folder():
+    assert common.shared_dir(_Session("spark://host:7077", "hdfs://name/dir/")) == "hdfs://name/dir"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(_Session("spark://host:7077"))
+    local = _Session("local[4]")
+    assert common.shared_dir(local) == common.shared_dir(local) == local.made
