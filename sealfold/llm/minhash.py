@@ -161,7 +161,9 @@ def _sharing_rare(rows: DataFrame, size: int, percent: int) -> DataFrame:
 
     Of sets of n and s shingles that are so similar, the n - overlap + 1 rarest of the one and the s - overlap + 1 rarest
     of the other have a shingle in common, in any one order of rarity. What many copies share is not rare, so it joins
-    nothing. Partners are told apart by classes of their size, within which the overlap needed is nearly one number.
+    nothing. Partners are told apart by classes of their size, within which the overlap needed is nearly one number. The first
+    shingle that two sets share, in that order, leaves either of them only what follows it to share; where that is too little,
+    the pair is never made.
     """
 
     def run(batches):
@@ -185,11 +187,11 @@ def _sharing_rare(rows: DataFrame, size: int, percent: int) -> DataFrame:
     most = F.least((F.col("n") - F.col("at")) * (100 + p) / p - F.col("n"), 100 * F.col("n") / p)
     least = F.greatest(F.ceil(p * F.col("n") / 100), F.lit(1))
     able = prefix.where(most >= least).withColumn("other", F.explode(F.sequence(of(least), of(most))))
-    entry = materialize(able.select(F.col("x.h").alias("h"), "doc_id", "outside", "c", of(F.col("n")).alias("own"), "other"), "prefixes")
+    entry = materialize(able.select(F.col("x.h").alias("h"), "doc_id", "outside", "c", of(F.col("n")).alias("own"), "other", "n", (F.col("n") - F.col("at")).alias("rest")), "prefixes")
     discard(each, often)
-    left = entry.where("outside").select("h", "own", "other", F.col("doc_id").alias("l"), F.col("c").alias("cl"))
-    right = entry.select("h", F.col("other").alias("own"), F.col("own").alias("other"), F.col("doc_id").alias("r"), F.col("c").alias("cr"), F.col("outside").alias("both"))
-    pairs = left.join(right, ["h", "own", "other"]).where("cl <> cr and (not both or l < r)")
+    left = entry.where("outside").select("h", "own", "other", F.col("doc_id").alias("l"), F.col("c").alias("cl"), F.col("n").alias("nl"), F.col("rest").alias("rl"))
+    right = entry.select("h", F.col("other").alias("own"), F.col("own").alias("other"), F.col("doc_id").alias("r"), F.col("c").alias("cr"), F.col("outside").alias("both"), F.col("n").alias("nr"), F.col("rest").alias("rr"))
+    pairs = left.join(right, ["h", "own", "other"]).where(f"cl <> cr and (not both or l < r) and {100 + p} * least(rl, rr) >= {p} * (nl + nr)")
     found = materialize(pairs.select(F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b")).distinct(), "rare")
     discard(entry)
     return found
@@ -249,7 +251,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     sides = materialize(still.groupBy("doc_id").agg(F.max(F.col("c") != F.col("top")).alias("outside"), F.first("c").alias("c")), "sides")
     discard(buckets, candidates, split, hub, still)
     pairs = _sharing_rare(held.join(sides, "doc_id"), size, percent)
-    last = materialize(confirmed(pairs.join(tried, ["a", "b"], "left_anti").join(met, ["a", "b"], "left_anti"), held, size, percent), "links")
+    last = materialize(confirmed(pairs.join(tried.union(met), ["a", "b"], "left_anti"), held, size, percent), "links")
     labels = joined(labels, last)
     drop_garbage(spark)
     named = members.select("doc_id", "n", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
