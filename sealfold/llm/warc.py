@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sealfold.llm.common import in_arrow, materialize
+from sealfold.llm.common import discard, in_arrow, materialize
 
 FILE_RECORDS, FAN_OUT = 1024, 16
 DATE = "2024-01-01T00:00:00Z"
@@ -61,10 +61,23 @@ def records(pages: DataFrame, file_records: int = FILE_RECORDS) -> DataFrame:
     return rows.withColumn("offset", before).select("page_id", "file", "n", "offset", "length", "record_sha256", "record")
 
 
+#: What an archive file's index says of each of its records.
+_RANGE = "array<struct<n:bigint,offset:bigint,length:bigint,page_id:bigint>>"
+
+
 def archive(found: DataFrame) -> DataFrame:
-    """file and content (binary): the archive files themselves, each of a bounded number of records."""
-    parts = found.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("n", "record"))).alias("parts"))
-    return parts.select("file", F.array_join(F.transform("parts", lambda x: x["record"]), "").cast("binary").alias("content"))
+    """file, content (binary) and ranges: the archive files themselves, each of a bounded number of records, with their index beside them."""
+    parts = found.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("n", "record", "offset", "length", "page_id"))).alias("parts"))
+    ranges = F.transform("parts", lambda x: F.struct(x["n"].alias("n"), x["offset"].alias("offset"), x["length"].alias("length"), x["page_id"].alias("page_id")))
+    return parts.select("file", F.array_join(F.transform("parts", lambda x: x["record"]), "").cast("binary").alias("content"), ranges.alias("ranges"))
+
+
+def _with_ranges(files: DataFrame, index: DataFrame | None) -> DataFrame:
+    """file, content and ranges: the ranges stored beside the files, or those of an index (see records()), which costs a shuffle of the contents."""
+    if index is None:
+        return files.select("file", "content", F.col("ranges").cast(_RANGE).alias("ranges"))
+    ranges = index.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("n", "offset", "length", "page_id"))).alias("ranges"))
+    return files.select("file", "content").join(ranges, "file", "left").select("file", "content", F.col("ranges").cast(_RANGE).alias("ranges"))
 
 
 _LENGTH = re.compile(rb"^content-length:\s*([0-9]+)\s*$", re.IGNORECASE | re.MULTILINE)
@@ -173,13 +186,12 @@ def audit(one: DataFrame, other: DataFrame) -> DataFrame:
     return both.select("file", F.col("node").alias("n"), status.alias("status"))
 
 
-def stored(files: DataFrame, index: DataFrame) -> DataFrame:
-    """file, n, offset, length, record_sha256 of a replica (file, content), hashed from its bytes by the ranges of an index (see records()).
+def stored(files: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """file, n, offset, length, record_sha256 of a replica (file, content), hashed from its bytes by the ranges of an index (see records()) or those beside it.
 
     Headers are not looked at, so no damage is an error: what ends early has another length, and a range beyond the end
     has no record. Bytes after the last range, or in a file without any, count as one record more.
     """
-    ranges = index.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("n", "offset", "length"))).alias("ranges"))
     names = ["file", "n", "offset", "length", "record_sha256"]
 
     def run(batches):
@@ -194,13 +206,12 @@ def stored(files: DataFrame, index: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    both = files.join(ranges, "file", "left").select("file", "content", "ranges")
-    return in_arrow(both, run, "file long, n long, offset long, length long, record_sha256 string")
+    return in_arrow(_with_ranges(files, index), run, "file long, n long, offset long, length long, record_sha256 string")
 
 
-def rotten(files: DataFrame, index: DataFrame) -> DataFrame:
-    """A replica (file, content) in which one byte of every 97th page's body is flipped where it lies: what the query's audit has to find."""
-    bad = index.where(F.pmod("page_id", F.lit(97)) == 5).groupBy("file").agg(F.collect_list(F.struct("page_id", "offset", "length")).alias("bad"))
+def rotten(files: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """A replica (file, content, ranges) in which one byte of every 97th page's body is flipped where it lies: what the query's audit has to find."""
+    rows = _with_ranges(files, index)
 
     def run(batches):
         for batch in batches:
@@ -208,14 +219,16 @@ def rotten(files: DataFrame, index: DataFrame) -> DataFrame:
             for content, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 data = bytearray(content)
                 for r in found or ():
+                    if r["page_id"] is None or r["page_id"] % 97 != 5:
+                        continue
                     at = content.index(b"\r\n\r\n", r["offset"]) + 4
                     size = r["offset"] + r["length"] - 4 - at
                     if size > 0:
                         data[at + r["page_id"] % size] ^= 1
                 out.append(bytes(data))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["file", "content"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), batch.column(2)], ["file", "content", "ranges"])
 
-    return in_arrow(files.join(bad, "file", "left").select("file", "content", "bad"), run, "file long, content binary")
+    return in_arrow(rows, run, f"file long, content binary, ranges {_RANGE}")
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,8 +241,9 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = spark.conf.get(key)
     spark.conf.set(key, "4")
     try:
-        second = materialize(rotten(first, index), "warc")
-        one, other = (materialize(stored(files, index), "stored") for files in (first, second))
+        second = materialize(rotten(first), "warc")
+        one, other = (materialize(stored(files), "stored") for files in (first, second))
+        discard(first, second)
     finally:
         spark.conf.set(key, before)
     found = audit(one, other).select("file", "n", F.lit(True).alias("damaged"))
