@@ -95,15 +95,17 @@ def test_segmentations(spark, sf_dir, found):
         assert len({tuple(ids) for _, ids in segmented}) == len(segmented) and {model.decode(ids) for _, ids in segmented} == {normal}
 
 
-def test_quality(spark, sf_dir, found):
-    out = by_id(registry.QUERIES["op5_quality"](spark, sf_dir))
+def test_quality(spark, sf_dir):
+    folder = f"{os.path.dirname(sf_dir)}/sf0.01"
+    found = texts_of(spark, folder)
+    out = by_id(registry.QUERIES["op5_quality"](spark, folder))
     assert out.keys() == found.keys()
-    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
     for i, r in out.items():
         assert r["n_bytes"] == len(found[i].encode()) and r["kept"] == (r["low"] <= r["perplexity"] <= r["high"])
         assert r["counted"] == (labels.get(i) == 1 and zlib.crc32(str(i).encode()) % 5 != 0)
-    good = [r["kept"] for i, r in out.items() if labels.get(i) == 1]
-    assert np.mean(good) > 0.9
+    share = lambda q: np.mean([r["kept"] for i, r in out.items() if labels.get(i) == q and zlib.crc32(str(i).encode()) % 5 == 0])
+    assert share(1) > 0.9 and share(0) < 0.4
 
 
 def test_toxicity(spark, sf_dir, found):
