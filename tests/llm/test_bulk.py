@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sealfold.llm import components, exact_dedup, fingerprints, minhash, packing, wordhash
+from sealfold.llm import common, components, exact_dedup, fingerprints, minhash, packing, wordhash
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "doc_id long, text string, lang string, keep_id int, kept string, row string"
@@ -53,6 +53,25 @@ def test_a_hot_group_is_counted_whole(spark, monkeypatch):
     assert [tuple(r) for r in out] == [(4998, 1667, 1667)]
 
 
+def test_bloom_tables_in_shards(spark, monkeypatch):
+    """Far more rows than a shard holds: many shards, and still nearly every row without a copy passes straight through."""
+    monkeypatch.setattr(common, "SHARD_WORDS", 64)
+    monkeypatch.setattr(common, "SHARDS_A_JOB", 3)
+    keys = spark.range(3000, numPartitions=3).selectExpr("if(id < 2700, id, id - 300) AS k", "'x' AS maybe_not")
+    table = common.bloom(keys, "k", 3000, times=2)
+    assert table.shards == 12
+    out = {}
+    for r in table.maybe(keys, "k").collect():
+        out.setdefault(r["k"], []).append(r["maybe"])
+    assert sum(map(len, out.values())) == 3000 and set(table.maybe(keys, "k").columns) == {"k", "maybe_not", "maybe"}
+    assert all(out[k] == [True, True] for k in range(2400, 2700))
+    assert sum(out[k] == [False] for k in range(2400)) > 0.95 * 2400
+    rows = [(i, f"text {i % 40}") for i in range(90)] + [(200, None), (201, "")]
+    d = docs(spark, *rows)
+    kept = {r["doc_id"] for r in exact_dedup.deduplicate(d).collect()}
+    assert kept == {max(j for j, u in rows if (u or "") == (t or "")) for _, t in rows} == {r["doc_id"] for r in exact_dedup.group_rows(d).where("kept").collect()}
+
+
 def test_empty_tables(spark):
     d = docs(spark, (1, "a")).limit(0)
     assert exact_dedup.group_rows(d).count() == exact_dedup.deduplicate(d).count() == 0
