@@ -81,3 +81,9 @@ def test_queries_on_a_cluster_without_enclaves(tmp_path, sf_dir):
         want = json.loads(json.dumps(con.sql(own.SQL[name]).to_arrow_table().to_pylist(), default=str))
         order = lambda rows: sorted(json.dumps(r, sort_keys=True) for r in rows)
         assert order(found[name]) == order(want), name
+
+
+def test_word_buckets_are_counted_once_a_row(spark, sf_dir):
+    plan = own._term_counts(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5") == 1 and "filter(" not in plan
+    assert plan.index("Join") < plan.index("md5")  # the join moves counts, not texts
