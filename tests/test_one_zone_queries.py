@@ -16,6 +16,7 @@ from tests.test_one_zone import HERE, RUN
 NAMES = {
     "audit_decisions": None,
     "kmeans_lloyd2": None,
+    "gbt_predict": "(SELECT count(*) FROM lineitem)",
 }
 
 
