@@ -17,6 +17,7 @@ NAMES = {
     "audit_decisions": None,
     "kmeans_lloyd2": None,
     "gbt_predict": "(SELECT count(*) FROM lineitem)",
+    "kmeans_partials": None,
 }
 
 
