@@ -18,6 +18,7 @@ NAMES = {
     "kmeans_lloyd2": None,
     "gbt_predict": "(SELECT count(*) FROM lineitem)",
     "kmeans_partials": None,
+    "kmeans_train": "10",
 }
 
 
