@@ -19,6 +19,7 @@ NAMES = {
     "gbt_predict": "(SELECT count(*) FROM lineitem)",
     "kmeans_partials": None,
     "kmeans_train": "10",
+    "linreg_ridge": None,
 }
 
 
