@@ -20,6 +20,7 @@ NAMES = {
     "kmeans_partials": None,
     "kmeans_train": "10",
     "linreg_ridge": None,
+    "linreg_ols": None,
 }
 
 
