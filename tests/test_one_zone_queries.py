@@ -21,6 +21,7 @@ NAMES = {
     "kmeans_train": "10",
     "linreg_ridge": None,
     "linreg_ols": None,
+    "linreg_two": None,
 }
 
 
