@@ -22,6 +22,7 @@ NAMES = {
     "linreg_ridge": None,
     "linreg_ols": None,
     "linreg_two": None,
+    "logreg_loss_grad": None,
 }
 
 
