@@ -23,6 +23,7 @@ NAMES = {
     "linreg_ols": None,
     "linreg_two": None,
     "logreg_loss_grad": None,
+    "logreg_train": "1",
 }
 
 
