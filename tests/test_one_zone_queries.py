@@ -24,6 +24,7 @@ NAMES = {
     "linreg_two": None,
     "logreg_loss_grad": None,
     "logreg_train": "1",
+    "num_features_max": None,
 }
 
 
