@@ -25,6 +25,7 @@ NAMES = {
     "logreg_loss_grad": None,
     "logreg_train": "1",
     "num_features_max": None,
+    "pca_covariance": None,
 }
 
 
