@@ -26,6 +26,7 @@ NAMES = {
     "logreg_train": "1",
     "num_features_max": None,
     "pca_covariance": None,
+    "pca_explained": "64",
 }
 
 
