@@ -27,6 +27,7 @@ NAMES = {
     "num_features_max": None,
     "pca_covariance": None,
     "pca_explained": "64",
+    "pca_spectrum": None,
 }
 
 
