@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -38,6 +39,7 @@ def materialize(df: DataFrame, name: str = "step", by: str | None = None) -> Dat
     """Write a frame to the shared folder, in a folder for each value of ``by``, and read it back: lineage ends at files that outlive any executor."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     (df.write.partitionBy(by) if by else df.write).parquet(path)
+    trim(df.sparkSession)
     stored = df.sparkSession.read.schema(df.schema).parquet(path)
     stored._stored_at = path
     for made in _collected:
@@ -104,9 +106,27 @@ def in_arrow(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator
     return rows.mapInArrow(tidy, schema)
 
 
+def trim(spark: SparkSession) -> bool:
+    """Return memory that the driver's JVM has freed outside its heap to the machine; False for a JVM that can't.
+
+    Compilers and hundreds of Spark's threads allocate there, each from an arena of the C library, which keeps what was freed.
+    """
+    jvm, array = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    try:
+        values = array(jvm.Object, 4)  # by reflection on the interface: the server's own class is not open to callers
+        values[0] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        values[1], values[2], values[3] = "systemTrimNativeHeap", array(jvm.Object, 0), array(jvm.String, 0)
+        found = [m for m in jvm.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke"]
+        found[0].invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), values)
+    except Py4JError:  # an older JVM, or another one
+        return False
+    return True
+
+
 def drop_garbage(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files, broadcasts and generated classes of finished steps: it does so when the driver's JVM collects."""
     spark.sparkContext._jvm.System.gc()
+    trim(spark)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sealfold.llm.common import ascii_lower, bloom, discard, documents, materialize, packed
+from sealfold.llm.common import ascii_lower, bloom, discard, documents, drop_garbage, materialize, packed
 
 #: A group is hot above this share of the rows; so there are at most 1 / HOT_SHARE hot groups, and they may be broadcast.
 HOT_SHARE = 0.001
@@ -54,6 +54,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns. Texts that can't be repeated are never shuffled."""
     rows = docs.select(packed(docs).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text")).alias("h"))
     base = materialize(rows.select("doc_id", "h"), "digests")
+    drop_garbage(docs.sparkSession)
     table = bloom(base, "h", base.count(), times=2)
     found = (
         table.maybe(base, "h").where("maybe").groupBy("h", "doc_id").agg(F.count(F.lit(1)).alias("n"))
@@ -63,6 +64,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     # Rows are probed by the table of the texts that are known to be repeated, which is smaller and has no false positives of its own.
     groups = materialize(found.where("group_size > 1"), "groups")
     discard(base, table.words)
+    drop_garbage(docs.sparkSession)
     probed = bloom(groups, "h", groups.count()).maybe(rows, "h")
     single = probed.where("not maybe").select("row")
     # Both sides are plain exchanges, so adaptive execution splits the rows of a hot group. What has no group is a false positive.
