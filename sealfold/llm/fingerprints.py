@@ -30,7 +30,8 @@ def sketch(text: Column, k: int = K, words: int = WORDS) -> Column:
     """The k smallest distinct shingle hashes of a text, ascending, as array<bigint>."""
 
     def hashes(w: Column) -> Column:
-        runs = F.transform(F.sequence(F.lit(1), F.size(w) - (words - 1)), lambda i: F.xxhash64(F.slice(w, i, words)))
+        # The hash of an array is that of its elements in turn, without the array that slice() would build for each shingle.
+        runs = F.transform(F.sequence(F.lit(0), F.size(w) - words), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(words)]))
         return F.when(F.element_at(w, 1) == "", F.array().cast("array<bigint>")).when(F.size(w) < words, F.array(F.xxhash64(w))).otherwise(runs)
 
     clean = F.btrim(F.lower(F.coalesce(text, F.lit(""))), F.lit(SPACE))
@@ -63,7 +64,7 @@ def containment(a: Column, b: Column, k: int = K) -> Column:
 
 def to_text(a: Column) -> Column:
     """A sketch as 16 hexadecimal digits a hash."""
-    return F.array_join(F.transform(a, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
+    return F.lower(F.array_join(F.transform(a, lambda x: F.lpad(F.hex(x), 16, "0")), ""))
 
 
 def fingerprints(docs: DataFrame, k: int = K) -> DataFrame:
